@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, block-max inverted index, weighted votes.
 
 The index holds labelled examples (``EXAMPLES`` in expectation, drawn by a hash of the id from outside the
-held-out fold). Its terms are the words that chi-square associates with the label, their support counted once
-per group of near copies. Inverse document frequencies come from all documents. Examples stand in blocks;
+held-out fold). Its terms are the words and beginnings of words that chi-square associates with the label, their support
+counted once per group of near copies. Inverse document frequencies come from all documents. Examples stand in blocks;
 each term keeps its largest weight per block, so the sum of a document's weights times those bounds the
 cosine in a block. Blocks are scored exactly in falling order of the bound until no bound reaches the k-th
 best: the neighbours are exact.
@@ -27,9 +27,14 @@ from tidemark.llm.textkernel import Powers, PrefixHash, cut, held_out, mix, word
 EXAMPLES = 8000
 TERMS = 4096
 SUPPORT = 3
+#: How much oftener than usual the examples with a term must be toxic (one half is always enough).
+LIFT = 4
 NEIGHBOURS = 12
-PRIOR_WEIGHT = 0.6
+PRIOR_WEIGHT = 1.5
 BLOCK = 64
+PREFIXES = (4, 5, 6, 7)
+#: Words whose terms a worker remembers.
+REMEMBERED = 200_000
 THRESHOLD = 0.7
 #: Word bytes: as elsewhere, and the apostrophe.
 _KEEP = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 or c == 39 else 32 for c in range(256))
@@ -39,6 +44,12 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_KEEP).split()
 
 
+def terms_of(word: bytes) -> list[str]:
+    """The word itself and its beginnings: inflected and compound forms share those."""
+    w = word.decode(errors="replace")
+    return [w, *("^" + w[:n] for n in PREFIXES if len(w) >= n)]
+
+
 def _copy_group(raw: bytes, powers: Powers) -> int:
     """Least hash of the five-word shingles: near copies mostly share it."""
     data = np.frombuffer(raw, np.uint8)
@@ -64,11 +75,11 @@ def choose_terms(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, t
         for batch in batches:
             group, toxic, word = [], [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sorted(set(words_of(text)))
+                found = sorted({t for w in set(words_of(text)) for t in terms_of(w)})
                 word += found
                 group += [_copy_group(text.lower().encode(), powers)] * len(found)
                 toxic += [label] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()).cast(pa.string()), pa.array(group, pa.int64()), pa.array(toxic, pa.int32())], ["word", "grp", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(group, pa.int64()), pa.array(toxic, pa.int32())], ["word", "grp", "toxic"])
 
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id")  # about `examples` rows of two numbers
     tokens = cut(texts.select("text", "toxic").mapInArrow(kernel, "word string, grp long, toxic int").distinct())
@@ -81,7 +92,7 @@ def choose_terms(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, t
     gap = a * float(total) - n_ * t_
     chi = gap * gap * float(total) / (n_ * (float(total) - n_ + 1e-9) * t_ * (float(total) - t_))
     least = 2 * math.log(max(seen.count(), 2)) + 4
-    top = seen.withColumn("chi", chi).filter(F.col("chi") >= least).orderBy(F.col("chi").desc(), "word").limit(terms).select("word").collect()
+    top = seen.withColumn("chi", chi).filter((F.col("chi") >= least) & (a / n_ >= min(LIFT * bad / total, 0.5))).orderBy(F.col("chi").desc(), "word").limit(terms).select("word").collect()
     return drawn, [r["word"] for r in top]
 
 
@@ -89,13 +100,18 @@ def features(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
     """Columns ``keep``, then the numbers of the index terms in each whole text and their counts."""
 
     def kernel(batches):
-        place = {w.encode(): i for i, w in enumerate(terms)}
+        place, known = {w: i for i, w in enumerate(terms)}, {}
         for batch in batches:
             ids, counts = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 own: dict[int, int] = {}
-                for i in map(place.get, words_of(text or "")):
-                    if i is not None:
+                for word in words_of(text or ""):
+                    at = known.get(word)
+                    if at is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        at = known[word] = [place[t] for t in terms_of(word) if t in place]
+                    for i in at:
                         own[i] = own.get(i, 0) + 1
                 ids.append(sorted(own))
                 counts.append([own[i] for i in ids[-1]])
