@@ -3,8 +3,8 @@
 A source is a party, its target the votes, a block of tokens a seat. Blocks go to sources by highest quotient
 target / (2k + 1), then in the same way from each source to its shards, so every shard has an integer quota.
 In a shard the documents lie in a seeded order as one run of tokens; the quota's whole passes take every
-document once each, what is left takes the run's beginning. Shards hold about ``SHARD_DOCS`` documents, so a
-source with a third of all rows is spread over as many tasks as its size asks for.
+document once each, what is left takes the run's beginning. A source of n documents has about sqrt(n) shards
+of sqrt(n) documents, so neither a shard nor the list of a source's shards outgrows a task.
 
 Null and empty texts have size 0 and take 0. A null source is a source of its own, the last. Rows that share
 a doc_id are rows of their own. An empty table gives an empty result. Other columns are ignored. SQL only.
@@ -21,7 +21,6 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 BLOCKS = 1 << 20
-SHARD_DOCS = 20_000
 SEED = "mix-1"
 
 
@@ -65,14 +64,14 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
     return out.select(*parties.columns, (F.col("_base") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shard_docs: int = SHARD_DOCS, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the row's source; one row per row of docs."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), key.alias("key")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     s = source_targets(sources, weights, share, cap).withColumn("block", F.greatest(F.lit(1), F.floor(F.col("total") / blocks)).cast("long"))
     s = s.withColumn("seats", F.floor(F.col("total") / F.col("block")).cast("long")).withColumn("g", F.lit(0))
-    s = sainte_lague(s, ["g"], "rank", "target", "seats").withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs)).cast("long"))
+    s = sainte_lague(s, ["g"], "rank", "target", "seats").withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sqrt("n_docs"))).cast("long"))
     s = cut(s.select(F.col("source").alias("name"), "rank", "source_size", "target", "block", "shards", F.col("quota").alias("source_quota")))
     dealt = sized.join(s, sized["source"].eqNullSafe(s["name"])).drop("name")
     dealt = dealt.withColumn("shard", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.col("shards")))
@@ -86,7 +85,7 @@ def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shard_docs: int
     return out.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"), "source")
 
 
-def oracle(table: str = "documents", seed: str = SEED, blocks: int = BLOCKS, shard_docs: int = SHARD_DOCS) -> str:
+def oracle(table: str = "documents", seed: str = SEED, blocks: int = BLOCKS) -> str:
     """The same result in DuckDB's SQL, with the quotients of every seat near the border ranked."""
 
     def lague(of: str, name: str, group: str, party: str, votes: str, seats: str) -> str:
@@ -109,7 +108,7 @@ l AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / weight, rank R
 lv AS (SELECT min(level) AS level FROM (SELECT level, row_number() OVER (ORDER BY most / weight, rank) AS i FROM l WHERE level <= most / weight QUALIFY i = 1)),
 t AS (SELECT source, source_size, n_docs, rank, total, coalesce(least(most, lv.level * weight), most) AS target, greatest(1, floor(total / {blocks})::BIGINT) AS block, 0 AS g FROM l, lv),
 t2 AS (SELECT *, floor(total / block)::BIGINT AS seats FROM t),{lague("t2", "sq", "g", "rank", "target", "seats")},
-s AS (SELECT source AS name, rank, source_size, target, block, greatest(1, ceil(n_docs / {shard_docs}.0::DOUBLE)::BIGINT) AS shards, quota AS source_quota FROM sq),
+s AS (SELECT source AS name, rank, source_size, target, block, greatest(1, ceil(sqrt(n_docs::DOUBLE))::BIGINT) AS shards, quota AS source_quota FROM sq),
 dealt AS (SELECT sized.*, s.* EXCLUDE (name), ('0x' || key[1:8])::BIGINT % shards AS shard FROM sized JOIN s ON source IS NOT DISTINCT FROM name),
 sh AS (SELECT rank, shard, sum(size)::BIGINT AS shard_size, any_value(source_quota) AS source_quota FROM dealt GROUP BY rank, shard),{lague("sh", "hq", "rank", "shard", "shard_size", "source_quota")},
 o AS (SELECT dealt.*, shard_size, coalesce(sum(size) OVER (PARTITION BY rank, shard ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bef, least(quota * block, shard_size * 2) AS words FROM dealt JOIN hq USING (rank, shard)),
