@@ -156,6 +156,11 @@ def ring_literal(points: Sequence[tuple[float, float]]) -> Column:
     return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in closed])
 
 
+def ring_of_pairs(pairs: Column) -> Column:
+    """A ring from arrays of two numbers, as GeoJSON has them."""
+    return F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+
+
 def ring_bounds(ring: Column) -> Column:
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))

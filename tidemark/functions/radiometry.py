@@ -51,8 +51,8 @@ def fill(x: Column, value: float = 0.0) -> Column:
 
 def stretched(x: Column, low: Column, high: Column) -> Column:
     """x between low and high as 0 to 1; 0 where the range is degenerate."""
-    span = F.when(high > low, high - low)
-    return F.when(x.isNotNull(), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / span)), F.lit(0.0)))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / F.nullif(high - low, F.lit(0.0))))
+    return F.when(x.isNotNull(), F.when(high > low, inside).otherwise(0.0))
 
 
 def ratio(vv_mean: Column, vh_mean: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.constants import CELL_SIZE, DRY_MONTH_PLACEHOLDER, SLOPE_BUFFER_M, SLOPE_LIMIT, STAGE_THRESHOLD
+from tidemark.functions import geo
 from tidemark.functions.text import contiguous_years, season_tag
 from tidemark.operators import baseline as base
 from tidemark.operators import catalog, merge, neighbourhood, tiles, vectorise
@@ -81,8 +82,7 @@ class FloodRun:
             if config.dry_month is None:
                 raise ValueError("an area of interest needs dry_month")
             areas = tiles.generate(spark, config.area, config.grid_mode, config.tile_km).withColumn("dry_month", F.lit(config.dry_month))
-            box = {k: g(F.transform("ring", lambda p, a=a: p[a])) for k, a, g in (("minx", "x", F.array_min), ("miny", "y", F.array_min), ("maxx", "x", F.array_max), ("maxy", "y", F.array_max))}
-            areas = areas.withColumns(box)
+            areas = areas.withColumn("_b", geo.ring_bounds(F.col("ring"))).select("*", "_b.*").drop("_b")
         if config.aoi_ids is not None:
             areas = areas.filter(F.col("aoi_id").isin(list(config.aoi_ids)))
         self.spark, self.config, self.areas, self.source, self.read = spark, config, areas, source, read

@@ -235,7 +235,7 @@ def common_months(spark: SparkSession, sf: str) -> DataFrame:
     return months(spark, sf).select("ym").intersect(other.select("ym"))
 
 
-_COLOUR = "coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({0} - {0}_l) / nullif({0}_h - {0}_l, 0))), 0.0::DOUBLE)"
+_COLOUR = "(CASE WHEN {0}_h > {0}_l THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({0} - {0}_l) / ({0}_h - {0}_l))) ELSE 0.0::DOUBLE END)"
 
 
 @query(using(f"""SELECT {PX}, scene_id, {', '.join(f'CASE WHEN {c} IS NOT NULL THEN ' + s6(_COLOUR.format(c)) + f' END AS {c}' for c in ('red', 'green', 'blue'))} FROM

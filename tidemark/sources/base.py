@@ -10,26 +10,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.constants import DEM_MARGIN_DEG
+from tidemark.functions import geo
 from tidemark.operators import catalog as ops
 
 Box = tuple[float, float, float, float]
 
 #: An item collection in JSON, as catalogs publish it.
-ITEM = "id string, collection string, geometry struct<type: string, coordinates: array<array<array<double>>>>, assets map<string, struct<href: string>>, properties map<string, string>"
-ITEMS = f"features array<struct<{ITEM.replace(' string', ': string').replace('geometry struct', 'geometry: struct').replace('assets map', 'assets: map').replace('properties map', 'properties: map')}>>"
+ITEMS = """features array<struct<id: string, collection: string, geometry: struct<type: string, coordinates: array<array<array<double>>>>,
+assets: map<string, struct<href: string>>, properties: map<string, string>>>"""
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Item collections in JSON files as catalog rows: scene_id, collection, acquired, ring, minx..maxy, epsg, assets, properties, arrival."""
     raw = spark.read.schema(ITEMS).option("multiLine", True).json(path)
     i = raw.select(F.posexplode("features").alias("arrival", "i")).select("arrival", "i.*")
-    ring = F.transform(F.get(F.col("geometry.coordinates"), F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    xs = lambda k, f: f(F.transform("ring", lambda p: p[k]))
-    i = i.withColumn("ring", ring)
+    i = i.withColumn("ring", geo.ring_of_pairs(F.get(F.col("geometry.coordinates"), F.lit(0)))).withColumn("_b", geo.ring_bounds(F.col("ring")))
     code = F.coalesce(F.regexp_extract(F.try_element_at("properties", F.lit("proj:code")), "([0-9]+)$", 1), F.try_element_at("properties", F.lit("proj:epsg")))
     return i.select(
         F.col("id").alias("scene_id"), "collection", F.try_to_timestamp(F.try_element_at("properties", F.lit("datetime"))).cast("timestamp_ntz").alias("acquired"), "ring",
-        xs("x", F.array_min).alias("minx"), xs("y", F.array_min).alias("miny"), xs("x", F.array_max).alias("maxx"), xs("y", F.array_max).alias("maxy"),
+        "_b.minx", "_b.miny", "_b.maxx", "_b.maxy",
         F.nullif(code, F.lit("")).cast("int").alias("epsg"), F.transform_values("assets", lambda _, a: a["href"]).alias("assets"), "properties", "arrival",
     )
 

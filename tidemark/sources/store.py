@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import geo
+
 #: Table -> what its files are partitioned by.
 LAYOUT = {
     "areas": [], "pairs": ["aoi_id"], "obs": ["aoi_id", "scene_id"], "baseline": ["aoi_id"], "dem": ["aoi_id"], "slope": ["aoi_id"],
@@ -75,11 +77,10 @@ def read_areas(spark: SparkSession, path: str, id_col: str = "ID", zone_col: str
     """Tiles from a GeoJSON feature collection: aoi_id, zone, dry_month, ring, minx..maxy. The id column may have any name."""
     schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
     f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.*")
-    ring = F.transform(F.get(F.col("geometry.coordinates"), F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    ring = geo.ring_of_pairs(F.get(F.col("geometry.coordinates"), F.lit(0)))
     prop = lambda c: F.try_element_at("properties", F.lit(c))
     f = f.select(prop(id_col).cast("int").alias("aoi_id"), prop(zone_col).alias("zone"), prop(dry_col).alias("dry_month"), ring.alias("ring"))
-    ends = {k: g(F.transform("ring", lambda p, a=a: p[a])) for k, a, g in (("minx", "x", F.array_min), ("miny", "y", F.array_min), ("maxx", "x", F.array_max), ("maxy", "y", F.array_max))}
-    return f.withColumns(ends)
+    return f.withColumn("_b", geo.ring_bounds(F.col("ring"))).select("*", "_b.*").drop("_b")
 
 
 def area_features(areas: DataFrame) -> DataFrame:
