@@ -108,6 +108,13 @@ def test_otsu_fits_no_baseline(spark, tmp_path):
     assert not run.store.exists("baseline") and run.store.read("months").agg(F.max("flood_days")).first()[0] == 0
 
 
+def test_ids_that_look_like_numbers_stay_text(spark, tmp_path):
+    run = start(spark, tmp_path)
+    run.store.write("obs", observations(spark).withColumn("scene_id", F.lit("007")), ("px_row", "px_col"))
+    assert dict(run.store.read("obs").dtypes)["scene_id"] == "string"
+    assert run.store.read("obs").filter("scene_id = '007'").count() == 54
+
+
 def test_slope_stage(spark, tmp_path):
     run = start(spark, tmp_path)
     dem = spark.createDataFrame([(318, r, c, 3.0 * c) for r in range(-1, 4) for c in range(-1, 4)], "aoi_id int, px_row int, px_col int, elev double")

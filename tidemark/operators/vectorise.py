@@ -94,7 +94,7 @@ def regions(classified: DataFrame, cell: float = CELL_SIZE, keys=("aoi_id", "sce
     else:
         runs = runs.withColumns({"xmin": F.lit(0.0), "ymax": F.lit(0.0)})
 
-    def kernel(_, part: pd.DataFrame) -> pd.DataFrame:
+    def kernel(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["px_row", "first"], kind="stable")
         row, first, last = (part[c].to_numpy() for c in ("px_row", "first", "last"))
         label = label_runs(row, first, last)

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidemark.functions import geo
 
@@ -14,6 +15,10 @@ LAYOUT = {
     "areas": [], "pairs": ["aoi_id"], "obs": ["aoi_id", "scene_id"], "baseline": ["aoi_id"], "dem": ["aoi_id"], "slope": ["aoi_id"],
     "classes": ["tag", "aoi_id"], "dates": ["tag", "aoi_id"], "months": ["tag", "aoi_id"], "valid": ["tag", "aoi_id"], "polygons": ["tag", "aoi_id"],
 }
+#: Types of partition columns, which folder names do not tell.
+KINDS = {"aoi_id": IntegerType(), "scene_id": StringType(), "tag": StringType()}
+#: Rows of pixels in one file.
+BAND_ROWS = 1024
 #: Tables that the monthly result can be made again from; ``flush`` drops the others.
 RESULTS = ("areas", "baseline", "slope", "dates", "months", "valid", "polygons")
 
@@ -38,15 +43,18 @@ class Store:
         return fs.exists(p)
 
     def write(self, table: str, df: DataFrame, sort: tuple[str, ...] = ()) -> None:
-        """``sort`` orders rows inside files, which lets scans skip row groups."""
+        """``sort`` orders rows inside files, which lets scans skip row groups; a partition gets a file per band of rows."""
         keys = LAYOUT[table]
         if sort:
-            df = df.repartition(*keys, sort[0]).sortWithinPartitions(*keys, *sort) if keys else df.sortWithinPartitions(*sort)
+            df = df.repartition(*keys, F.expr(f"{sort[0]} div {BAND_ROWS}")) if keys else df
+            df = df.sortWithinPartitions(*keys, *sort)
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*keys) if keys else writer).parquet(self.path(table))
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
+        found = self.spark.read.parquet(self.path(table)).schema
+        kinds = [StructField(f.name, KINDS[f.name]) if f.name in LAYOUT[table] else f for f in found]
+        return self.spark.read.schema(StructType(kinds)).parquet(self.path(table))
 
     def areas_done(self, table: str, tag: str | None = None) -> list[int]:
         """Areas with a partition in the table, read from folder names."""
