@@ -104,8 +104,10 @@ def apply(df: DataFrame, steps: Steps) -> DataFrame:
 
 def nested(source: str, steps: Steps) -> str:
     """The steps as SQL subqueries over a table or a query in parentheses."""
+    made: set[str] = set()
     for step in steps:
-        seen = [k for k in step if f" AS {k}" in source]
+        seen = [k for k in step if k in made]
+        made |= set(step)
         drop = f" EXCLUDE ({', '.join(seen)})" if seen else ""
         source = f"(SELECT *{drop}, {', '.join(f'{v} AS {k}' for k, v in step.items())} FROM {source})"
     return source

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.constants import SCENE_MARGIN_M
 from tidemark.functions import geo
 from tidemark.functions.text import date_token, dry_months, id_part, season
 
@@ -143,3 +144,41 @@ def union_box(areas: DataFrame) -> DataFrame:
 def footprints(scenes: DataFrame) -> DataFrame:
     """scene_id and the box of its ring."""
     return scenes.select("scene_id", geo.ring_bounds(F.col("ring")).alias("b")).select("scene_id", "b.*")
+
+
+def search_rings(areas: DataFrame, separate: bool = True, buffer: float = 0.0) -> DataFrame:
+    """aoi_id and the closed ring of the box to search in; with ``separate`` false one ring around all, under the id 1.
+
+    ``buffer`` metres are added in UTM, in the zone of the area of smallest id, for neighbourhoods at the edges."""
+    box = areas.select("aoi_id", *BOX)
+    if buffer:
+        first = areas.select(F.col("aoi_id"), geo.utm_zone((F.col("minx") + F.col("maxx")) / 2).alias("_z"), ((F.col("miny") + F.col("maxy")) < 0).alias("_s"))
+        first = first.agg(F.min_by("_z", "aoi_id").alias("_zone"), F.min_by("_s", "aoi_id").alias("_south"))
+        box = box.crossJoin(first)  # one row
+        box = _corners(box, "_zone", "_south", buffer)
+        for k, x, y in ((0, "_x0", "_y0"), (1, "_x1", "_y0"), (2, "_x1", "_y1"), (3, "_x0", "_y1")):
+            box = geo.apply(box, geo.utm_inverse(x, y, "_zone", "_south", f"lon{k}", f"lat{k}"))
+        ends = {"minx": F.least(*[f"lon{k}" for k in range(4)]), "maxx": F.greatest(*[f"lon{k}" for k in range(4)]), "miny": F.least(*[f"lat{k}" for k in range(4)]), "maxy": F.greatest(*[f"lat{k}" for k in range(4)])}
+        box = box.withColumns(ends).select("aoi_id", *BOX)
+    if not separate:
+        box = union_box(box)
+    return box.select("aoi_id", geo.box_ring(*map(F.col, BOX)).alias("ring"))
+
+
+def _corners(box: DataFrame, zone: str, south: str, margin: float) -> DataFrame:
+    """Adds _x0, _y0, _x1, _y1: the box in metres of a zone, widened."""
+    for k, (x, y) in enumerate((("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"))):
+        box = geo.apply(box, geo.utm_forward(x, y, zone, south, f"e{k}", f"n{k}"))
+    ends = {"_x0": F.least(*[f"e{k}" for k in range(4)]) - margin, "_y0": F.least(*[f"n{k}" for k in range(4)]) - margin, "_x1": F.greatest(*[f"e{k}" for k in range(4)]) + margin, "_y1": F.greatest(*[f"n{k}" for k in range(4)]) + margin}
+    return box.withColumns(ends).drop(*[f"{c}{k}" for c in "en" for k in range(4)])
+
+
+def read_windows(pairs: DataFrame, areas: DataFrame, scenes: DataFrame, margin: float = SCENE_MARGIN_M) -> DataFrame:
+    """aoi_id, scene_id and the window to read (x0, y0, x1, y1 in the scene's coordinates), widened by ``margin`` metres.
+
+    ``scenes`` has epsg; where it is no UTM code the window is NULL and the whole scene is read."""
+    j = pairs.join(areas.select("aoi_id", *BOX), "aoi_id").join(scenes.select("scene_id", "epsg"), "scene_id")
+    utm = F.col("epsg").between(32601, 32660) | F.col("epsg").between(32701, 32760)
+    j = j.withColumns({"_zone": F.when(utm, F.col("epsg") % 100).otherwise(1).cast("int"), "_south": F.coalesce(F.col("epsg") >= 32700, F.lit(False))})
+    j = _corners(j, "_zone", "_south", margin)
+    return j.select("aoi_id", "scene_id", *[F.when(utm, F.col(f"_{k}")).alias(k) for k in ("x0", "y0", "x1", "y1")])

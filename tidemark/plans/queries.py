@@ -15,7 +15,7 @@ from tidemark.constants import MONTH_NODATA
 from tidemark.functions import classes as cl
 from tidemark.functions import geo, radiometry, text
 from tidemark.operators import baseline as base
-from tidemark.operators import catalog, duration, merge, neighbourhood, regrid, summaries, tiles, vectorise
+from tidemark.operators import blocks, catalog, duration, merge, neighbourhood, regrid, summaries, tiles, vectorise
 from tidemark.operators.detect import Otsu, ZScore, otsu_thresholds
 from tidemark.plans import views
 from tidemark.plans.oracle import PX, low, using
@@ -320,6 +320,33 @@ def thinned_scenes(spark: SparkSession, sf: str) -> DataFrame:
     return neighbourhood.thinned(monthly_scenes(spark, sf), 3).select("aoi_id", "scene_id", "px_row", "px_col", r6("vv").alias("vv"), r6("vh").alias("vh"))
 
 
+@query(using(f"SELECT aoi_id, scene_id, px_row, px_col, {s6('vv::FLOAT::DOUBLE')} AS vv, {s6('vh::FLOAT::DOUBLE')} AS vh FROM monthly_scenes", "monthly_scenes"))
+def block_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels to blocks of 8 x 8 and back."""
+    b = blocks.to_blocks(monthly_scenes(spark, sf), ["aoi_id", "scene_id"], ["vv", "vh"], 8)
+    return blocks.from_blocks(b, ["aoi_id", "scene_id"], ["vv", "vh"], 8).withColumns({c: r6(c) for c in ("vv", "vh")})
+
+
+_BOX_UTM = ", ".join(f"{f}({', '.join(f'{c}{k}' for k in range(4))}) {sign} 5000::DOUBLE AS {name}" for name, f, c, sign in (("x0", "least", "e", "-"), ("y0", "least", "n", "-"), ("x1", "greatest", "e", "+"), ("y1", "greatest", "n", "+")))
+
+
+def _window_sql() -> str:
+    """Corners projected one after another."""
+    source = "(SELECT p.aoi_id, p.scene_id, minx, miny, maxx, maxy, CASE WHEN arrival % 3 = 0 THEN NULL ELSE 43 + arrival % 2 END AS zone FROM pairs p JOIN areas USING (aoi_id) JOIN (SELECT scene_id, arrival FROM newest) USING (scene_id))"
+    for k, (x, y) in enumerate((("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"))):
+        steps = geo.utm_forward(x, y, "coalesce(zone, 1)", "false", f"e{k}", f"n{k}")
+        source = f"(SELECT * EXCLUDE (_dl, _t, _xi, _eta) FROM {geo.nested(source, steps)})"
+    return f"SELECT aoi_id, scene_id, {', '.join(f'CASE WHEN zone IS NOT NULL THEN round({k}, 3) END AS {k}' for k in ('x0', 'y0', 'x1', 'y1'))} FROM (SELECT *, {_BOX_UTM} FROM {source})"
+
+
+@query(using(_window_sql(), "pairs", "newest", "areas"))
+def read_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of the areas in scenes of zone 43 or 44; a third of the scenes have no known projection."""
+    n = newest(spark, sf).withColumn("epsg", F.when(F.col("arrival") % 3 == 0, None).otherwise(32643 + F.col("arrival") % 2).cast("int"))
+    w = catalog.read_windows(pairs(spark, sf), areas(spark, sf), n)
+    return w.select("aoi_id", "scene_id", *[F.round(k, 3).alias(k) for k in ("x0", "y0", "x1", "y1")])
+
+
 def _targets(spark: SparkSession, sf: str) -> DataFrame:
     """A 12 x 12 grid per area, laid askew over the 16 x 16 source pixels."""
     tile = obs(spark, sf).groupBy("aoi_id").agg(F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), F.lit(360.0).alias("xmax"), F.lit(360.0).alias("ymax"))

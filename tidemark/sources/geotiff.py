@@ -149,6 +149,13 @@ def read(spark: SparkSession, path: str, window: tuple[float, float, float, floa
     return files.mapInArrow(kernel, "path string, band string, px_row int, px_col int, x double, y double, value double")
 
 
+def list_tiles(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """aoi_id, path, modified of the files under a path; ``pattern`` is a regular expression whose first group is the id. No file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("modificationTime").alias("modified"))
+    aoi = F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")).cast("int")
+    return files.select(aoi.alias("aoi_id"), "path", "modified").filter("aoi_id is not null")
+
+
 def encode(bands: np.ndarray, names: list[str], x0: float, y0: float, cell: float, epsg: int | None = None, nodata: float = float("nan")) -> bytes:
     """A deflated float32 file of bands x rows x columns."""
     n, height, width = bands.shape
