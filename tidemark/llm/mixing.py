@@ -41,7 +41,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ca
     before = F.coalesce(F.sum("most").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
     s = s.withColumn("level", (F.col("total") - before) / rest)
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.struct("most", "rank", "level"))).over(every)["level"])
+    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.struct(F.col("most") / F.col("weight"), "rank", "level"))).over(every)["level"])
     return s.withColumn("target", F.coalesce(F.least("most", F.col("level") * F.col("weight")), F.col("most"))).drop("weight", "most", "level")
 
 
