@@ -41,9 +41,11 @@ _DOTS = r"(?:dot|punkt|point|punto|period)"
 _OPEN, _CLOSE = r"\s*[\(\[\{<]\s*", r"\s*[\)\]\}>]\s*"
 SPELLED = rf"(?i)\b(?:plus[\s,-]+)?{_WORD}(?:(?:[\s,_-]+(?:{_DOTS}[\s,_-]+)?|\s*[.]\s*)(?:{_WORD}|[0-9])(?![^\W_])){{{LEAST_WORDS - 1},}}"
 SPELLED_PART = rf"(?i)(plus)[\s,-]+|({_WORD})(?![^\W_])|[\s,_-]+({_DOTS})[\s,_-]+|\s*([.])\s*|[\s,_-]+"
+#: What a host must end in if its signs are plain words; in prose "at the dot on" is none.
+_LAST = r"(?!(?:am|an|as|at|be|by|do|go|he|if|in|is|it|me|my|no|of|on|or|so|to|up|us|we)\b)(?:com|org|net|edu|gov|mil|int|info|biz|app|dev|example|invalid|local|test|[a-z]{2})\b"
 AT_DOT = (
     rf"(?i)(?P<at>{_OPEN}(?:at|@|arroba|ät){_CLOSE}"
-    rf"|(?<=[A-Za-z0-9])\s+(?:at|arroba)\s+(?=[A-Za-z0-9-]+(?:\s+{_DOTS}\s+|{_OPEN}(?:{_DOTS}|\.){_CLOSE})[A-Za-z0-9])"
+    rf"|(?<=[A-Za-z0-9])\s+(?:at|arroba)\s+(?=[A-Za-z0-9-]+(?:\s+{_DOTS}\s+[A-Za-z0-9-]+){{0,4}}?(?:\s+{_DOTS}\s+{_LAST}|{_OPEN}(?:{_DOTS}|\.){_CLOSE}[A-Za-z0-9]))"
     rf"|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9]))"
     rf"|(?P<dot>{_OPEN}(?:{_DOTS}|\.){_CLOSE}|(?<=[A-Za-z0-9])\s+{_DOTS}\s+(?=[A-Za-z0-9]))"
 )
