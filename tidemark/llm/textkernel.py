@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Bytes of text that one NumPy pass takes; a longer document is a pass of its own.
@@ -31,6 +32,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def over_text(docs: DataFrame, make, added: str, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (all by default), then those of the schema text ``added``, which ``make()`` gives a function for: text array -> arrays.
+
+    The texts travel to the worker once; where ``keep`` has no text they do not travel back."""
+    keep = docs.columns if keep is None else keep
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at, schema = rows.columns.index("text"), StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(added).fields])
+
+    def kernel(batches):
+        work = make()
+        for batch in batches:
+            columns = batch.columns[: len(keep)]
+            yield pa.RecordBatch.from_arrays([*columns, *work(batch.column(at))], schema.names)
+
+    return rows.mapInArrow(kernel, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

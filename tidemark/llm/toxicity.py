@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, block-max inverted index, weighted votes.
 
 The index holds labelled examples (``EXAMPLES`` in expectation, drawn by a hash of the id from outside the
-held-out fold). Its terms are the words and beginnings of words that chi-square associates with the label, their support
-counted once per group of near copies. Inverse document frequencies come from all documents. Examples stand in blocks;
+held-out fold). Its terms are the words and beginnings of words, each also as "makes up at least 1/256, 1/128,
+1/64 of the words", that chi-square associates with the label, their support counted once per group of near copies. Inverse document frequencies come from all documents. Examples stand in blocks;
 each term keeps its largest weight per block, so the sum of a document's weights times those bounds the
 cosine in a block. Blocks are scored exactly in falling order of the bound until no bound reaches the k-th
 best: the neighbours are exact.
@@ -16,13 +16,14 @@ is; repeated documents are rows of their own; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textkernel import Powers, PrefixHash, cut, held_out, mix, word_bounds
+from tidemark.llm.textkernel import Powers, PrefixHash, cut, held_out, mix, over_text, word_bounds
 
 EXAMPLES = 8000
 TERMS = 4096
@@ -33,6 +34,8 @@ NEIGHBOURS = 12
 PRIOR_WEIGHT = 1.5
 BLOCK = 64
 PREFIXES = (4, 5, 6, 7)
+#: Shares of a document's words, as 1 / level, from which on a term counts as frequent.
+LEVELS = (256, 128, 64)
 #: Words whose terms a worker remembers.
 REMEMBERED = 200_000
 THRESHOLD = 0.7
@@ -50,6 +53,21 @@ def terms_of(word: bytes) -> list[str]:
     return [w, *("^" + w[:n] for n in PREFIXES if len(w) >= n)]
 
 
+def levels_of(count: int, words: int) -> list[int]:
+    """Levels that a term with ``count`` occurrences among ``words`` reaches; a single one is no share."""
+    return [v for v in LEVELS if count > 1 and count * v >= words]
+
+
+def all_terms(text: str) -> set[str]:
+    """Terms of a text, with ``term~level`` for the frequent ones."""
+    words = words_of(text)
+    count: Counter[str] = Counter()
+    for word, n in Counter(words).items():
+        for t in terms_of(word):
+            count[t] += n
+    return {*count, *(f"{t}~{v}" for t, n in count.items() for v in levels_of(n, len(words)))}
+
+
 def _copy_group(raw: bytes, powers: Powers) -> int:
     """Least hash of the five-word shingles: near copies mostly share it."""
     data = np.frombuffer(raw, np.uint8)
@@ -64,62 +82,106 @@ def _copy_group(raw: bytes, powers: Powers) -> int:
 
 
 def choose_terms(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> tuple[DataFrame, list[str]]:
-    """The drawn examples (doc_id, toxic) and the terms of the index."""
+    """The drawn examples (doc_id, toxic) and the terms of the index.
+
+    Of each group of near copies one example speaks, that of the smallest id, toxic if any of them is."""
     rated = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = rated.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     drawn = cut(rated.filter(draw < (examples / max(n, 1))))
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+    texts = cut(texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "h"]))  # about `examples` rows, broadcast two numbers each
 
-    def kernel(batches):
+    def groups():
         powers = Powers()
-        for batch in batches:
-            group, toxic, word = [], [], []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sorted({t for w in set(words_of(text)) for t in terms_of(w)})
-                word += found
-                group += [_copy_group(text.lower().encode(), powers)] * len(found)
-                toxic += [label] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(group, pa.int64()), pa.array(toxic, pa.int32())], ["word", "grp", "toxic"])
-
-    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id")  # about `examples` rows of two numbers
-    tokens = cut(texts.select("text", "toxic").mapInArrow(kernel, "word string, grp long, toxic int").distinct())
-    per = tokens.groupBy("grp").agg(F.max("toxic").alias("toxic")).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+        return lambda texts: [pa.array([_copy_group(t.as_py().lower().encode(), powers) for t in texts], pa.int64())]
+
+    grouped = over_text(texts, groups, "grp long", ["doc_id", "h", "toxic"])
+    speakers = grouped.groupBy("grp").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.max("toxic").alias("toxic"))
+    speakers = cut(speakers.select("r.doc_id", "r.h", "toxic"))
+    per = speakers.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     total, bad = per["n"], per["t"] or 0
     if not total or not bad or bad == total:
         return drawn, []
-    seen = tokens.groupBy("word", "grp").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).filter(F.col("n") >= SUPPORT)
+
+    def count(batches):
+        n: Counter[str] = Counter()
+        t: Counter[str] = Counter()
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([t[w] for w in n], pa.int64())], ["word", "n", "t"])
+
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                found = all_terms(text.as_py())
+                n.update(found)
+                if label:
+                    t.update(found)
+                if len(n) > REMEMBERED:
+                    yield told()
+                    n.clear(), t.clear()
+        yield told()
+
+    spoken = texts.drop("toxic").join(F.broadcast(speakers), ["doc_id", "h"]).select("text", "toxic")
+    seen = spoken.mapInArrow(count, "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    seen = cut(seen.filter(F.col("n") >= SUPPORT))
     a, n_, t_ = F.col("t"), F.col("n"), F.lit(float(bad))
     gap = a * float(total) - n_ * t_
     chi = gap * gap * float(total) / (n_ * (float(total) - n_ + 1e-9) * t_ * (float(total) - t_))
     least = 2 * math.log(max(seen.count(), 2)) + 4
-    top = seen.withColumn("chi", chi).filter((F.col("chi") >= least) & (a / n_ >= min(LIFT * bad / total, 0.5))).orderBy(F.col("chi").desc(), "word").limit(terms).select("word").collect()
-    return drawn, [r["word"] for r in top]
+    top = seen.withColumn("chi", chi).filter((F.col("chi") >= least) & (a / n_ >= min(LIFT * bad / total, 0.5))).orderBy(F.col("chi").desc(), "word").limit(terms).select("word", "chi").collect()
+    return drawn, without_nested([(r["word"], r["chi"]) for r in top])
+
+
+def without_nested(found: list[tuple[str, float]]) -> list[str]:
+    """Terms (with their chi-square, best first) without those that only repeat what a beginning or a continuation says better.
+
+    A word and its beginnings occur together; of two that do, the one of larger chi-square stays, of equals the longer."""
+    best: dict[str, float] = {}
+    for term, chi in found:
+        stem = term.split("~")[0]
+        best[stem] = max(best.get(stem, 0.0), chi)
+    gone = set()
+    for stem, chi in best.items():
+        body = stem.lstrip("^")
+        for n in PREFIXES:
+            short = "^" + body[:n]
+            if short != stem and len(body) >= n and short in best:
+                gone.add(stem if best[short] > chi else short)
+    return [term for term, _ in found if term.split("~")[0] not in gone]
 
 
 def features(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
     """Columns ``keep``, then the numbers of the index terms in each whole text and their counts."""
 
-    def kernel(batches):
+    def make():
         place, known = {w: i for i, w in enumerate(terms)}, {}
-        for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                own: dict[int, int] = {}
-                for word in words_of(text or ""):
-                    at = known.get(word)
-                    if at is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        at = known[word] = [place[t] for t in terms_of(word) if t in place]
-                    for i in at:
-                        own[i] = own.get(i, 0) + 1
-                ids.append(sorted(own))
-                counts.append([own[i] for i in ids[-1]])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], [*keep, "ids", "counts"])
-
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(kernel, f"{kinds}, ids array<int>, counts array<int>")
+        stems = {t: k for k, t in enumerate(sorted({w.split("~")[0] for w in terms}))}
+        plain = {k: place[t] for t, k in stems.items() if t in place}
+        frequent = {k: {v: place[f"{t}~{v}"] for v in LEVELS if f"{t}~{v}" in place} for t, k in stems.items()}
+
+        def of(text: str) -> dict[int, int]:
+            words, stem = words_of(text), {}
+            for word in words:
+                at = known.get(word)
+                if at is None:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    at = known[word] = [stems[t] for t in terms_of(word) if t in stems]
+                for k in at:
+                    stem[k] = stem.get(k, 0) + 1
+            own = {plain[k]: n for k, n in stem.items() if k in plain}
+            for k, n in stem.items():
+                own.update((i, 1) for v, i in frequent[k].items() if n > 1 and n * v >= len(words))
+            return own
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            found = [sorted(of(t.as_py() or "").items()) for t in texts]
+            return [pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+
+        return work
+
+    return over_text(docs, make, "ids array<int>, counts array<int>", keep)
 
 
 def unit_weights(ids, counts, idf: np.ndarray) -> np.ndarray:
@@ -188,10 +250,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, exa
     known = feats.filter(F.size("ids") > 0).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "ids", "counts").collect()
     index = BlockMax([(r["doc_id"], r["toxic"], list(r["ids"]), unit_weights(list(r["ids"]), list(r["counts"]), idf)) for r in known], max(len(terms), 1))
     prior = float(share or 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast((index, idf))  # about `examples` short rows
+    shared = docs.sparkSession.sparkContext.broadcast((vars(index), idf))  # about `examples` short rows; arrays only, as workers may lack the class
 
     def kernel(batches):
-        index, idf = shared.value
+        own, idf = shared.value
+        index = BlockMax.__new__(BlockMax)
+        vars(index).update(own)
         for batch in batches:
             scores, evidence = [], []
             for ids, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
