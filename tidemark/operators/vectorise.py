@@ -7,8 +7,11 @@ touch along sides, not corners.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +123,7 @@ def regions(classified: DataFrame, cell: float = CELL_SIZE, keys=("aoi_id", "sce
 def dissolved(classified: DataFrame, cell: float = CELL_SIZE, outline: bool = True) -> DataFrame:
     """Regions per area and date: the cells of the date's scenes together. ``classified`` has obs_date."""
     return regions(classified, cell, ("aoi_id", "obs_date"), outline)
+
+
+# Workers may not have this package on their path, so kernels travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

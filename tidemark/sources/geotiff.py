@@ -8,12 +8,14 @@ and tiles, bands interleaved or apart, integers and floats.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,3 +227,7 @@ def save(contents: DataFrame, key: str, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string())], [key, "path"])
 
     return contents.select(key, "content").mapInArrow(kernel, f"{key} {dict(contents.dtypes)[key]}, path string")
+
+
+# Workers may not have this package on their path, so kernels travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
