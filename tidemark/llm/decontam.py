@@ -131,34 +131,61 @@ def search(raw: np.ndarray, offsets: np.ndarray, items: Items, powers: Powers, s
             yield row, item, s, start, m
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """doc_id, item_id, similarity, start_word, n_words."""
-    spark = docs.sparkSession
+def _slices(benchmark: DataFrame, slice_bytes: int):
+    """The benchmark's items, about ``slice_bytes`` of text at a time, broadcast."""
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     slices = int(size // slice_bytes) + 1
-    schema = "doc_id long, item_id long, similarity double, start_word long, n_words long"
+    items = benchmark.select(F.col("item_id").cast("long"), "text")
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
+    for k in range(slices):
+        yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.filter(number == k).collect()])
 
-    def against(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])  # at most about slice_bytes
 
+def _hits(texts: pa.Array, items: Items, powers: Powers, similarity: float):
+    """(row, item number, similarity, first word, words) of a whole column."""
+    raw, offsets = text_buffer(pc.utf8_lower(texts))
+    for i, j in passes(offsets):
+        for row, *hit in search(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], items, powers, similarity):
+            yield i + row, *hit
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, item_id, similarity, start_word, n_words."""
+    schema = "doc_id long, item_id long, similarity double, start_word long, n_words long"
+
+    def against(shared) -> DataFrame:
         def kernel(batches):
             items, powers = Items(shared.value), Powers()
             for batch in batches:
-                doc = batch.column(0).to_pylist()
-                raw, offsets = text_buffer(pc.utf8_lower(batch.column(1)))
-                out = []
-                for i, j in passes(offsets):
-                    part = search(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], items, powers, similarity)
-                    out += [(doc[i + row], items.ids[item], s, start, m) for row, item, s, start, m in part]
+                doc = batch.column(0)
+                out = [(doc[row].as_py(), items.ids[item], s, start, m) for row, item, s, start, m in _hits(batch.column(1), items, powers, similarity)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, schema)
 
-    items = benchmark.select(F.col("item_id").cast("long"), "text")
-    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
     out = None
-    for k in range(slices):
-        one = against(items.filter(number == k).collect())
+    for shared in _slices(benchmark, slice_bytes):
+        one = against(shared)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """docs without the rows that hold an item; same columns. Rows are judged one by one, so no text is shuffled and no id is needed."""
+
+    def without(rows: DataFrame, shared) -> DataFrame:
+        at = rows.columns.index("text")
+
+        def kernel(batches):
+            items, powers = Items(shared.value), Powers()
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                keep[[row for row, *_ in _hits(batch.column(at), items, powers, similarity)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return rows.mapInArrow(kernel, rows.schema)
+
+    for shared in _slices(benchmark, slice_bytes):
+        docs = without(docs, shared)
+    return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textkernel import held_out
+from tidemark.llm.textkernel import held_out, over_text
 
 BUCKETS = 1 << 15
 #: Labelled documents per language that the model is fitted on, in expectation.
@@ -113,16 +113,17 @@ def infer(grams: np.ndarray, model: np.ndarray) -> list[tuple[int, float]]:
     return sorted(zip(best[1].tolist(), best[2].tolist()), key=lambda x: (-x[1], x[0]))
 
 
-def predict(docs: DataFrame, names: list[str], model: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (doc_id by default), then lang_pred, score, mixture (``name:proportion``, largest first)."""
-    keep = keep or ["doc_id"]
+def predict(docs: DataFrame, names: list[str], model: np.ndarray, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Columns ``keep`` (doc_id by default), then lang_pred, score, mixture (``name:proportion``, largest first), each with ``prefix``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets, however many rows there are
 
-    def kernel(batches):
+    def make():
         words, own = re.compile(r"[^\W\d_]+"), shared.value
-        for batch in batches:
+
+        def work(texts: pa.Array) -> list[pa.Array]:
             preds, scores, mixtures = [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in texts:
+                text = text.as_py()
                 grams = ngrams(text, words) if text and names else ()
                 if not len(grams):
                     preds.append("und"), scores.append(0.0), mixtures.append("")
@@ -131,11 +132,11 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray, keep: list[str
                 preds.append(names[found[0][0]])
                 scores.append(min(1.0, max(0.0, found[0][1])))
                 mixtures.append(",".join(f"{names[i]}:{p:.3f}" for i, p in found))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(mixtures, pa.string())], [*keep, "lang_pred", "score", "mixture"])
+            return [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(mixtures, pa.string())]
+
+        return work
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(kernel, f"{kinds}, lang_pred string, score double, mixture string")
+    return over_text(docs, make, f"{prefix}lang_pred string, {prefix}score double, {prefix}mixture string", keep or ["doc_id"])
 
 
 def identify(docs: DataFrame) -> DataFrame:

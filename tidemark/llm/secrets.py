@@ -141,12 +141,12 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, path: str = "sour
     Rows are matched by id and text hash. The texts are not shuffled while rows with secrets are ``SMALL`` or fewer."""
     model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
     key = F.xxhash64(F.col("doc_id").cast("string"), "text", path)
-    found = judge(candidates(docs.select(key.alias("_id"), "text", path), ["_id"], path), model).filter("is_secret")
-    by_row = cut(found.groupBy("_id").agg(F.collect_set("candidate").alias("_secrets")))
+    found = judge(candidates(docs.select(key.alias("__id"), "text", path), ["__id"], path), model).filter("is_secret")
+    by_row = cut(found.groupBy("__id").agg(F.collect_set("candidate").alias("__secrets")))
     if by_row.count() <= SMALL:
         by_row = F.broadcast(by_row)
-    out = docs.withColumn("_id", key).join(by_row, "_id", "left")
-    clean = F.aggregate(F.array_sort("_secrets", lambda a, b: F.length(b) - F.length(a)), F.col("text"), lambda t, s: F.replace(t, s, F.lit(by)))
-    text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(clean)
+    out = docs.withColumn("__id", key).join(by_row, "__id", "left")
+    clean = F.aggregate(F.array_sort("__secrets", lambda a, b: F.length(b) - F.length(a)), F.col("text"), lambda t, s: F.replace(t, s, F.lit(by)))
+    text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(clean)
     made = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
     return out.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import golay
-from tidemark.llm.textkernel import cut, shuffle_partitions
+from tidemark.llm.textkernel import cut, over_text, shuffle_partitions
 
 #: Fingerprints of one key that a task compares at once; keys with more are cut in blocks, see ``links``.
 GROUP_LIMIT = 20_000
@@ -41,16 +41,17 @@ def text_simhash(text: bytes, words: int) -> int:
     return int(np.packbits(on, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (long): the SimHash of each whole text."""
+def fingerprints(docs: DataFrame, words: int = 4, keep: list[str] | None = None, name: str = "fp") -> DataFrame:
+    """Columns ``keep`` (doc_id by default), then ``name`` (long): the SimHash of each whole text."""
 
-    def kernel(batches):
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            fp = np.fromiter((text_simhash(t, words) if t else 0 for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+    def make():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            raw = (t.as_py() for t in texts.cast(pa.binary()))
+            return [pa.array(np.fromiter((text_simhash(t, words) if t else 0 for t in raw), np.int64, len(texts)))]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, "doc_id long, fp long")
+        return work
+
+    return over_text(docs, make, f"{name} long", keep or ["doc_id"])
 
 
 def _keyed(fps: DataFrame) -> DataFrame:
@@ -186,18 +187,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("component labels did not settle")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = golay.RADIUS) -> DataFrame:
-    """doc_id, fp (long), component_id: one row per row of docs."""
-    fps = cut(fingerprints(docs, words))
+def groups(fps: DataFrame, radius: int = golay.RADIUS) -> DataFrame:
+    """fp, first (smallest doc_id of its rows), component_id (smallest doc_id of its component), for each distinct fp of (doc_id, fp).
+
+    Fingerprints are the nodes, so rows without a doc_id link others like any row; a component of such rows only has
+    no component_id."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = links(distinct, radius)
-    ends = distinct.select(F.col("fp").alias("a"), F.col("first").alias("u"))
-    edges = found.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select("u", "v")
-    label = components(edges)
-    groups = distinct.join(label, distinct["first"] == label["node"], "left").select("fp", F.coalesce("label", "first").alias("component_id"))
-    return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
+    label = components(links(distinct, radius).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labelled = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
+    return labelled.join(least, "label").select("fp", "first", "component_id", "label")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """doc_id of the row that stays of each group."""
-    return near_duplicates(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = golay.RADIUS) -> DataFrame:
+    """doc_id, fp (long), component_id: one row per row of docs."""
+    fps = cut(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), words))
+    return fps.join(groups(fps, radius).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 4, radius: int = golay.RADIUS) -> DataFrame:
+    """docs with one row of each group: that of the smallest doc_id, a row without one only where none has one. Same columns.
+
+    Different texts under one doc_id are rows of their own; equal rows of a doc_id count once."""
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long"), own.alias("row"), "text")
+    fps = cut(fingerprints(rows, words, ["doc_id", "row"]))
+    best = fps.groupBy("fp").agg(F.min("row").alias("row"))
+    chosen = groups(fps, radius).select("fp", "label").join(best, "fp").groupBy("label").agg(F.min("row").alias("row"))
+    chosen = chosen.select(F.col("row.none").alias("__none"), F.col("row.id").alias("__id"), F.col("row.h").alias("__h"))
+    key = ["__none", "__id", "__h"]  # equalities, so that the join and the removal of repeats share one shuffle
+    marked = docs.withColumns({"__none": own["none"], "__id": own["id"], "__h": own["h"]})
+    return marked.join(chosen, key, "left_semi").dropDuplicates(key).select(*docs.columns)
