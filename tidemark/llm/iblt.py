@@ -197,5 +197,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     o = d.withColumn("o", order)
     visiting = o.join(guests, (F.col("o.i") == F.col("gi")) & (F.col("o.h") == F.col("gh"))).dropDuplicates(["host"]).select(F.col("host").alias("part"), "doc_id", "text", F.lit(True).alias("guest"), "o")
     every = o.select("part", "doc_id", "text", F.lit(False).alias("guest"), "o").unionByName(visiting)
-    dealt = every.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("o").desc())
+    dealt = every.repartitionById(n, F.col("part")).sortWithinPartitions("part", "guest", F.col("o").desc())
     return dealt.select("part", "doc_id", "text", "guest").mapInArrow(_kernel, SCHEMA)
