@@ -22,7 +22,9 @@ def test_baseline_folds_batches_and_restarts(spark, tmp_path):
             s = incremental.read_observations(spark, path, max_files=1)
             incremental.run_to_end(s, incremental.fold_into(state, spark), str(tmp_path / "checkpoint"))
     incremental.run_to_end(incremental.read_observations(spark, path), incremental.fold_into(state, spark), str(tmp_path / "checkpoint"))
-    last = max(int(p.name.split("-")[1]) for p in (tmp_path / "state").iterdir())
+    left = sorted(int(p.name.split("-")[1]) for p in (tmp_path / "state").iterdir())
+    last = left[-1]
+    assert left == [last - 1, last]
     key = lambda r: (r["px_row"], r["px_col"])
     got = sorted(baseline.finish(spark.read.parquet(f"{state}/state-{last}")).collect(), key=key)
     want = sorted(baseline.fit(spark.read.parquet(path)).collect(), key=key)

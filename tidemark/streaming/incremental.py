@@ -81,12 +81,14 @@ def fold_into(path: str, spark: SparkSession) -> Callable[[DataFrame, int], None
     """A foreachBatch writer that folds a batch's observations into stored moments, each batch at most once.
 
     The state after a batch is a folder of its own, named by the batch; a batch that is run again after a failure writes the
-    same folder from the same state before it."""
+    same folder from the same state before it. Older states go."""
 
     def write(batch: DataFrame, number: int) -> None:
         new = base.moments(batch)
         if number > 0:
             new = base.merge_moments(spark.read.parquet(f"{path}/state-{number - 1}"), new)
         new.write.mode("overwrite").parquet(f"{path}/state-{number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/state-{number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
