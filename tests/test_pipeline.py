@@ -154,3 +154,26 @@ def test_reads_only_what_is_missing(spark, tmp_path):
     assert asked == [sorted(names[1:])]
     run.prepare_wet()
     assert len(asked) == 1 and run.store.scenes_done().count() == 4
+
+
+def test_bucketed_tables_need_no_shuffle(spark):
+    from tidemark.operators import baseline
+    from tidemark.operators.detect import ZScore
+    from tidemark.sources.store import use_buckets, write_bucketed
+
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition")
+    old = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set(keys[0], "-1")
+    use_buckets(spark)
+    try:
+        write_bucketed(observations(spark), "obs_by_row", 4)
+        stored = spark.table("obs_by_row")
+        write_bucketed(baseline.fit(stored.filter("month(obs_date) = 4")), "base_by_row", 4)
+        months = merge.by_month(merge.by_date(ZScore().detect(stored.filter("month(obs_date) = 7"), spark.table("base_by_row"))))
+        assert "Exchange" not in months._jdf.queryExecution().executedPlan().toString()
+        assert at(months, 1, 0, "flood_days") == 1 and months.count() == 9
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.sql("drop table if exists obs_by_row")
+        spark.sql("drop table if exists base_by_row")

@@ -81,6 +81,21 @@ class Store:
         return dropped
 
 
+BUCKETED_BY = ("aoi_id", "px_row")
+
+
+def write_bucketed(df: DataFrame, table: str, buckets: int) -> None:
+    """A catalog table in buckets of pixel rows. Tables with as many buckets join and aggregate by pixel without a shuffle.
+
+    For archives that many queries go over; ``use_buckets`` lets joins on the whole pixel key take a part of it for their partitioning."""
+    own = df.repartition(buckets, *BUCKETED_BY)
+    own.write.mode("overwrite").bucketBy(buckets, *BUCKETED_BY).sortBy(*BUCKETED_BY, "px_col").saveAsTable(table)
+
+
+def use_buckets(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def read_areas(spark: SparkSession, path: str, id_col: str = "ID", zone_col: str = "zone", dry_col: str = "dry_month") -> DataFrame:
     """Tiles from a GeoJSON feature collection: aoi_id, zone, dry_month, ring, minx..maxy. The id column may have any name."""
     schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
