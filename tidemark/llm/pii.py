@@ -82,7 +82,7 @@ class Finder:
         self.domain, self.ip, self.card, self.phone = map(re.compile, (DOMAIN, IP, CARD, PHONE))
         self.spelled, self.part, self.at_dot, self.hint = map(re.compile, (SPELLED, SPELLED_PART, AT_DOT, AT_DOT_HINT))
         self.table = look_alikes()
-        self.odd = re.compile("[" + "".join(map(re.escape, map(chr, self.table))) + "]")
+        self.odd = frozenset(map(chr, self.table))
 
     def base(self, t: str) -> list[tuple[str, int, int]]:
         """Spans of the four patterns, by kind and start."""
@@ -107,7 +107,7 @@ class Finder:
     def clear(self, t: str) -> tuple[str, list[tuple[int, int]] | None]:
         """The text without disguises, and for each of its characters the source range; None if nothing changed."""
         where = None
-        if not t.isascii() and self.odd.search(t):
+        if not t.isascii() and not self.odd.isdisjoint(t):
             chars, where = [], []
             for i, c in enumerate(t):
                 plain = self.table.get(ord(c), c)
