@@ -40,6 +40,8 @@ _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _DOTS = r"(?:dot|punkt|point|punto|period)"
 _OPEN, _CLOSE = r"\s*[\(\[\{<]\s*", r"\s*[\)\]\}>]\s*"
 SPELLED = rf"(?i)\b(?:plus[\s,-]+)?{_WORD}(?:(?:[\s,_-]+(?:{_DOTS}[\s,_-]+)?|\s*[.]\s*)(?:{_WORD}|[0-9])(?![^\W_])){{{LEAST_WORDS - 1},}}"
+#: The same in folded text, where a search is twice as fast; most texts have none.
+SPELLED_FOLDED = SPELLED.removeprefix("(?i)").replace(r"(?:plus[\s,-]+)?", "")
 SPELLED_PART = rf"(?i)(plus)[\s,-]+|({_WORD})(?![^\W_])|[\s,_-]+({_DOTS})[\s,_-]+|\s*([.])\s*|[\s,_-]+"
 #: What a host must end in if its signs are plain words; in prose "at the dot on" is none.
 _LAST = r"(?!(?:am|an|as|at|be|by|do|go|he|if|in|is|it|me|my|no|of|on|or|so|to|up|us|we)\b)(?:com|org|net|edu|gov|mil|int|info|biz|app|dev|example|invalid|local|test|[a-z]{2})\b"
@@ -80,7 +82,7 @@ class Finder:
 
     def __init__(self) -> None:
         self.domain, self.ip, self.card, self.phone = map(re.compile, (DOMAIN, IP, CARD, PHONE))
-        self.spelled, self.part, self.at_dot, self.hint = map(re.compile, (SPELLED, SPELLED_PART, AT_DOT, AT_DOT_HINT))
+        self.spelled, self.folded, self.part, self.at_dot, self.hint = map(re.compile, (SPELLED, SPELLED_FOLDED, SPELLED_PART, AT_DOT, AT_DOT_HINT))
         self.table = look_alikes()
         self.odd = frozenset(map(chr, self.table))
 
@@ -115,7 +117,7 @@ class Finder:
                     chars.append(plain)
                     where.append((i, i + 1))
             t = "".join(chars)
-        if self.spelled.search(t):
+        if self.folded.search(t.casefold()) and self.spelled.search(t):
             t, where = self._rewrite(t, where, self.spelled, self._digits)
         if self.hint.search(t):
             t, where = self._rewrite(t, where, self.at_dot, lambda m: [("@" if m["at"] else ".", m.start(), m.end())])
