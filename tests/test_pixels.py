@@ -293,6 +293,14 @@ def test_agreement_of_equal_products(spark):
     assert (r["n_both"], r["n_either"], r["exact_pct"], r["mean_diff"], r["std_diff"]) == (1, 1, 100.0, 0.0, 0.0)
 
 
+def test_agreement_is_over_common_months(spark):
+    kind = "aoi_id int, px_row int, px_col int, ym string, flood_days int"
+    a = spark.createDataFrame([(1, 0, 0, "202401", 3), (1, 0, 1, "202401", 1), (1, 0, 0, "202402", 1)], kind)
+    b = spark.createDataFrame([(1, 0, 0, "202401", 1), (1, 0, 2, "202401", 4), (1, 0, 0, "202403", 1)], kind)
+    r = summaries.agreement(a, b).collect()
+    assert [(x["ym"], x["n_both"], x["n_either"], x["exact_pct"], x["within_one_pct"], x["mean_diff"]) for x in r] == [("202401", 1, 3, 0.0, 0.0, 2.0)]
+
+
 def test_clip_limits_without_values(spark):
     d = spark.createDataFrame([(1, None), (1, None)], "g int, x double")
     r = summaries.clip_limits(d, ["x"], ["g"]).first()

@@ -37,20 +37,22 @@ def area_rollup(months: DataFrame, cell: float = CELL_SIZE) -> DataFrame:
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per month that both products have: pixels valid in both and in either, shares (in percent) that are equal
     and that differ by one day at most, mean and deviation of a - b. Both have aoi_id, px_row, px_col, ym, flood_days."""
-    common = a.select("ym").distinct().intersect(b.select("ym").distinct())
     day = lambda c: F.when(F.col(c) != MONTH_NODATA, F.col(c))
-    left = a.join(common, "ym", "left_semi").select(*PIXEL, "ym", day("flood_days").alias("a"))
-    right = b.join(common, "ym", "left_semi").select(*PIXEL, "ym", day("flood_days").alias("b"))
+    left = a.select(*PIXEL, "ym", F.lit(1).alias("in_a"), day("flood_days").alias("a"))
+    right = b.select(*PIXEL, "ym", F.lit(1).alias("in_b"), day("flood_days").alias("b"))
     j = left.join(right, [*PIXEL, "ym"], "full_outer").withColumn("d", (F.col("a") - F.col("b")).cast("double"))
     both = F.nullif(F.count("d"), F.lit(0)).cast("double")
-    return j.groupBy("ym").agg(
+    out = j.groupBy("ym").agg(
         F.count("d").alias("n_both"),
         F.count_if(F.col("a").isNotNull() | F.col("b").isNotNull()).alias("n_either"),
         (F.count_if(F.col("d") == 0) * 100.0 / both).alias("exact_pct"),
         (F.count_if(F.abs("d") <= 1) * 100.0 / both).alias("within_one_pct"),
         F.avg("d").alias("mean_diff"),
         F.stddev_pop("d").alias("std_diff"),
+        F.count("in_a").alias("rows_a"),
+        F.count("in_b").alias("rows_b"),
     )
+    return out.filter("rows_a > 0 and rows_b > 0").drop("rows_a", "rows_b")
 
 
 def clip_limits(obs: DataFrame, columns: list[str], keys: list[str], low: float = 0.02, high: float = 0.98, exact: bool = True) -> DataFrame:
