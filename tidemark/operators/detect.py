@@ -68,9 +68,9 @@ def _bin(x: Column, low: Column, high: Column, bins: int) -> Column:
     return F.least(F.floor((x - low) / F.nullif(high - low, F.lit(0.0)) * float(bins)), F.lit(bins - 1)).cast("int")
 
 
-def _dense(bins: int) -> Column:
+def _dense(bins: Column) -> Column:
     """``bins`` counts from the map ``hist``."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("hist", i), F.lit(0).cast("long")))
+    return F.transform(F.sequence(F.lit(0), bins - 1), lambda i: F.coalesce(F.try_element_at("hist", i), F.lit(0).cast("long")))
 
 
 def is_bimodal(counts: Column) -> Column:
@@ -123,7 +123,10 @@ def otsu_thresholds(obs: DataFrame, scene=SCENE) -> DataFrame:
     kinds = F.explode(F.array(F.struct(F.lit("fine").alias("kind"), _bin(F.col("s.x"), F.col("s.low"), F.col("s.high"), OTSU_BINS).alias("bin")), F.struct(F.lit("coarse").alias("kind"), _bin(F.col("s.x"), F.col("s.low"), F.col("s.high"), PEAK_BINS).alias("bin"))))
     counted = valid.select(*scene, F.col("s.band").alias("band"), kinds.alias("k")).groupBy(*scene, "band", "k.kind", "k.bin").agg(F.count("*").alias("n"))
     tables = counted.groupBy(*scene, "band", "kind").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("hist"))
-    verdict = tables.select(*scene, "band", F.when(F.col("kind") == "coarse", is_bimodal(_dense(PEAK_BINS))).alias("two"), F.when(F.col("kind") == "fine", otsu_split(_dense(OTSU_BINS))).alias("at"))
+    coarse = F.col("kind") == "coarse"
+    # As columns of their own the counts are made once and not for each use.
+    dense = tables.select(*scene, "band", "kind", _dense(F.when(coarse, PEAK_BINS).otherwise(OTSU_BINS)).alias("counts"))
+    verdict = dense.select(*scene, "band", F.when(coarse, is_bimodal(F.col("counts"))).alias("two"), F.when(~coarse, otsu_split(F.col("counts"))).alias("at"))
     per = verdict.groupBy(*scene).agg(*[F.max(F.when(F.col("band") == b, F.col(c))).alias(f"{b}_{c}") for b in bands for c in ("two", "at")])
     out = ends.join(per, scene, "left")
     for b in bands:
