@@ -203,18 +203,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = golay.RADIUS)
     """doc_id, fp (long), component_id: one row per row of docs."""
     fps = cut(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), words))
     return fps.join(groups(fps, radius).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 4, radius: int = golay.RADIUS) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id, a row without one only where none has one. Same columns.
-
-    Different texts under one doc_id are rows of their own; equal rows of a doc_id count once."""
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
-    rows = docs.select(F.col("doc_id").cast("long"), own.alias("row"), "text")
-    fps = cut(fingerprints(rows, words, ["doc_id", "row"]))
-    best = fps.groupBy("fp").agg(F.min("row").alias("row"))
-    chosen = groups(fps, radius).select("fp", "label").join(best, "fp").groupBy("label").agg(F.min("row").alias("row"))
-    chosen = chosen.select(F.col("row.none").alias("__none"), F.col("row.id").alias("__id"), F.col("row.h").alias("__h"))
-    key = ["__none", "__id", "__h"]  # equalities, so that the join and the removal of repeats share one shuffle
-    marked = docs.withColumns({"__none": own["none"], "__id": own["id"], "__h": own["h"]})
-    return marked.join(chosen, key, "left_semi").dropDuplicates(key).select(*docs.columns)
