@@ -44,6 +44,8 @@ HOT_IN_BATCH = 64
 GROUP_ROWS = 200_000
 NO_ID = -(1 << 63)
 SEGMENT, APART, MARKER, REMOVED = 0, 1, 2, 3
+#: Windows that the 24 bits of pack() hold.
+MOST_WINDOWS = (1 << 24) - 1
 
 
 def pack(kind, start, n):
@@ -51,6 +53,14 @@ def pack(kind, start, n):
     return (np.asarray(kind, np.int64) << 60) | (np.asarray(start, np.int64) << 24) | np.asarray(n, np.int64)
 
 
+def in_pieces(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut to at most MOST_WINDOWS windows, so that pack() can hold them."""
+    count = -(-n // MOST_WINDOWS)
+    run = np.repeat(np.arange(len(n)), count)
+    at = (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)) * MOST_WINDOWS
+    return doc[run], start[run] + at, np.minimum(n[run] - at, MOST_WINDOWS)
+
+
 def unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return p >> 60, (p >> 24) & ((1 << 36) - 1), p & ((1 << 24) - 1)
 
@@ -154,7 +164,7 @@ def _name(batches):
         opens = np.ones(len(key), bool)
         opens[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
         later, _ = _later(opens, doc, start)
-        d, s, c = merge_runs(doc[later], start[later], n[later])
+        d, s, c = in_pieces(*merge_runs(doc[later], start[later], n[later]))
         yield _batch(_route(d, s), np.zeros(len(d)), d, pack(REMOVED, s, c))
         key, name, doc, start, n = (x[opens] for x in (key, name, doc, start, n))
         first = np.concatenate([[True], key[1:] != key[:-1]])
