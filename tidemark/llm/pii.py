@@ -6,20 +6,27 @@ disguised "at" and "dot" to the sign. Each keeps, for every character it writes,
 for; the patterns run once more, and a match is mapped back to the source range of its first and last
 character. It is added unless it meets a base span of its kind. Base spans always stay.
 
-Null and empty texts have no span; rows are independent, so repeated rows and ids need no rule. Every
-pattern takes time linear in the text.
+Null and empty texts have no span; an empty table gives an empty result. Rows are independent, so repeated rows and
+ids need no rule; added spans of one kind that meet each other all stay, in order of start, then end. Other columns are ignored. Very long
+texts: every pattern takes time linear in the text (none begins with a repetition that may begin inside a run of the
+same characters), spans are merged by one sweep, and the source ranges are two arrays of numbers.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: (kind, start, end) in code points; and source ranges as arrays of starts and of ends.
+Span = tuple[str, int, int]
+Ranges = tuple[np.ndarray, np.ndarray]
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -38,20 +45,24 @@ DIGIT_WORDS = {
 LEAST_WORDS = 4
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _DOTS = r"(?:dot|punkt|point|punto|period)"
-_OPEN, _CLOSE = r"\s*[\(\[\{<]\s*", r"\s*[\)\]\}>]\s*"
-SPELLED = rf"(?i)\b(?:plus[\s,-]+)?{_WORD}(?:(?:[\s,_-]+(?:{_DOTS}[\s,_-]+)?|\s*[.]\s*)(?:{_WORD}|[0-9])(?![^\W_])){{{LEAST_WORDS - 1},}}"
+#: Brackets about a sign, with the white space beside them; a match never begins inside a run of white space.
+_INNER, _CLOSE = r"[\(\[\{<]\s*+", r"\s*+[\)\]\}>]\s*+"
+_OPEN = rf"(?<!\s)\s*+{_INNER}"
+SPELLED = rf"(?i)\b(?:plus[\s,-]++)?{_WORD}(?:(?:[\s,_-]++(?:{_DOTS}[\s,_-]++)?|\s*+[.]\s*+)(?:{_WORD}|[0-9]+)(?![^\W_])){{{LEAST_WORDS - 1},}}"
 #: The same in folded text, where a search is twice as fast; most texts have none.
-SPELLED_FOLDED = SPELLED.removeprefix("(?i)").replace(r"(?:plus[\s,-]+)?", "")
-SPELLED_PART = rf"(?i)(plus)[\s,-]+|({_WORD})(?![^\W_])|[\s,_-]+({_DOTS})[\s,_-]+|\s*([.])\s*|[\s,_-]+"
+SPELLED_FOLDED = SPELLED.removeprefix("(?i)").replace(r"(?:plus[\s,-]++)?", "")
+SPELLED_PART = rf"(?i)(plus)[\s,-]++|({_WORD})(?![^\W_])|[\s,_-]++({_DOTS})[\s,_-]++|\s*+([.])\s*+|[\s,_-]++"
 #: What a host must end in if its signs are plain words; in prose "at the dot on" is none.
-_LAST = r"(?!(?:am|an|as|at|be|by|do|go|he|if|in|is|it|me|my|no|of|on|or|so|to|up|us|we)\b)(?:com|org|net|edu|gov|mil|int|info|biz|app|dev|example|invalid|local|test|[a-z]{2})\b"
+ENDINGS = "com org net edu gov mil int info biz app dev io example invalid local test online shop store site xyz cloud tech blog page world live club space news email agency studio design works media solutions company network digital group today life pro name mobi museum travel jobs coop aero academy center consulting global host link social support systems team tools website wiki zone".split()
+_LAST = r"(?!(?:am|an|as|at|be|by|do|go|he|if|in|is|it|me|my|no|of|on|or|so|to|up|us|we)\b)(?:" + "|".join(ENDINGS) + r"|[a-z]{2})\b"
+_HOST = r"[A-Za-z0-9-]++"
 AT_DOT = (
     rf"(?i)(?P<at>{_OPEN}(?:at|@|arroba|ät){_CLOSE}"
-    rf"|(?<=[A-Za-z0-9])\s+(?:at|arroba)\s+(?=[A-Za-z0-9-]+(?:\s+{_DOTS}\s+[A-Za-z0-9-]+){{0,4}}?(?:\s+{_DOTS}\s+{_LAST}|{_OPEN}(?:{_DOTS}|\.){_CLOSE}[A-Za-z0-9]))"
-    rf"|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9]))"
-    rf"|(?P<dot>{_OPEN}(?:{_DOTS}|\.){_CLOSE}|(?<=[A-Za-z0-9])\s+{_DOTS}\s+(?=[A-Za-z0-9]))"
+    rf"|(?<=[A-Za-z0-9])\s++(?:at|arroba)\s++(?={_HOST}(?:\s++{_DOTS}\s++{_HOST}){{0,4}}?(?:\s++{_DOTS}\s++{_LAST}|\s*+{_INNER}(?:{_DOTS}|\.){_CLOSE}[A-Za-z0-9]))"
+    rf"|(?<=[A-Za-z0-9])\s++@\s*+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s++(?=[A-Za-z0-9]))"
+    rf"|(?P<dot>{_OPEN}(?:{_DOTS}|\.){_CLOSE}|(?<=[A-Za-z0-9])\s++{_DOTS}\s++(?=[A-Za-z0-9]))"
 )
-AT_DOT_HINT = rf"(?i)[\(\[\{{<]\s*(?:at|@|arroba|ät|{_DOTS}|\.)\s*[\)\]\}}>]|\s{_DOTS}\s|\s@|@\s"
+AT_DOT_HINT = rf"(?i)[\(\[\{{<]\s*+(?:at|@|arroba|ät|{_DOTS}|\.)\s*+[\)\]\}}>]|\s{_DOTS}\s|\s@|@\s"
 
 
 def look_alikes() -> dict[int, str | None]:
@@ -83,10 +94,12 @@ class Finder:
     def __init__(self) -> None:
         self.domain, self.ip, self.card, self.phone = map(re.compile, (DOMAIN, IP, CARD, PHONE))
         self.spelled, self.folded, self.part, self.at_dot, self.hint = map(re.compile, (SPELLED, SPELLED_FOLDED, SPELLED_PART, AT_DOT, AT_DOT_HINT))
-        self.table = look_alikes()
-        self.odd = frozenset(map(chr, self.table))
+        table = look_alikes()
+        self.odd = frozenset(map(chr, table))
+        self.plain = np.arange(0x110000, dtype=np.int32)  # -1: written as nothing
+        self.plain[list(table)] = [-1 if c is None else ord(c) for c in table.values()]
 
-    def base(self, t: str) -> list[tuple[str, int, int]]:
+    def base(self, t: str) -> list[Span]:
         """Spans of the four patterns, by kind and start."""
         out, seen, at = [], 0, t.find("@")
         while at >= 0:
@@ -97,7 +110,7 @@ class Finder:
             if m:
                 out.append(("email", start, seen := m.end()))
             at = t.find("@", max(at + 1, seen))
-        out += [("ip", *m.span()) for m in self.ip.finditer(t) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in self.ip.finditer(t) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
         for kind, pattern, least, most in (("card", self.card, 13, 19), ("phone", self.phone, 9, 15)):
             for m in pattern.finditer(t):
                 if len(m[0]) >= least:
@@ -106,24 +119,20 @@ class Finder:
                         out.append((kind, *m.span()))
         return out
 
-    def clear(self, t: str) -> tuple[str, list[tuple[int, int]] | None]:
+    def clear(self, t: str) -> tuple[str, Ranges | None]:
         """The text without disguises, and for each of its characters the source range; None if nothing changed."""
         where = None
         if not t.isascii() and not self.odd.isdisjoint(t):
-            chars, where = [], []
-            for i, c in enumerate(t):
-                plain = self.table.get(ord(c), c)
-                if plain is not None:
-                    chars.append(plain)
-                    where.append((i, i + 1))
-            t = "".join(chars)
+            plain = self.plain[np.frombuffer(t.encode("utf-32-le"), np.uint32)]
+            at = np.flatnonzero(plain >= 0)
+            t, where = plain[at].astype("<u4").tobytes().decode("utf-32-le"), (at, at + 1)
         if self.folded.search(t.casefold()) and self.spelled.search(t):
             t, where = self._rewrite(t, where, self.spelled, self._digits)
         if self.hint.search(t):
             t, where = self._rewrite(t, where, self.at_dot, lambda m: [("@" if m["at"] else ".", m.start(), m.end())])
         return t, where
 
-    def _digits(self, m: re.Match) -> list[tuple[str, int, int]]:
+    def _digits(self, m: re.Match) -> list[Span]:
         out, at = [], m.start()
         while at < m.end():
             p = self.part.match(m.string, at, m.end())
@@ -138,33 +147,35 @@ class Finder:
         return out
 
     @staticmethod
-    def _rewrite(t: str, where, pattern: re.Pattern, write):
-        chars, ranges, at = [], [], 0
-        source = where or [(i, i + 1) for i in range(len(t))]
+    def _rewrite(t: str, where: Ranges | None, pattern: re.Pattern, write) -> tuple[str, Ranges]:
+        begin, end = where or (np.arange(len(t)), np.arange(1, len(t) + 1))
+        chars, begins, ends, at = [], [], [], 0
         for m in pattern.finditer(t):
-            chars.append(t[at : m.start()])
-            ranges += source[at : m.start()]
-            for sign, a, b in write(m):
-                chars.append(sign)
-                ranges.append((source[a][0], source[b - 1][1]))
+            signs = write(m)
+            chars += [t[at : m.start()], *(x[0] for x in signs)]
+            begins += [begin[at : m.start()], [begin[a] for _, a, _ in signs]]
+            ends += [end[at : m.start()], [end[b - 1] for _, _, b in signs]]
             at = m.end()
         chars.append(t[at:])
-        ranges += source[at:]
-        return "".join(chars), ranges
+        return "".join(chars), (np.concatenate([*begins, begin[at:]]).astype(np.int64), np.concatenate([*ends, end[at:]]).astype(np.int64))
 
-    def find(self, t: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    def find(self, t: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans."""
         base = self.base(t)
         plain, where = self.clear(t)
         if where is None:
             return base, base
-        more = [(k, where[a][0], where[b - 1][1]) for k, a, b in self.base(plain)]
-        taken = {k: [x for x in base if x[0] == k] for k in KINDS}
-        new = [x for x in more if not any(x[1] < b and a < x[2] for _, a, b in taken[x[0]])]
-        return base, sorted(base + new, key=lambda x: (KINDS.index(x[0]), x[1]))
+        taken = {k: [x for x in base if x[0] == k] for k in KINDS}  # by start, none meets another
+        new = []
+        for kind, a, b in self.base(plain):
+            start, end = int(where[0][a]), int(where[1][b - 1])
+            before = bisect.bisect_left(taken[kind], end, key=lambda x: x[1]) - 1  # the last that starts before the end
+            if before < 0 or taken[kind][before][2] <= start:
+                new.append((kind, start, end))
+        return base, sorted(base + new, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
-def _text(spans: list[tuple[str, int, int]]) -> str:
+def _text(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
