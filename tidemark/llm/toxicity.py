@@ -1,16 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, block-max inverted index, weighted votes.
 
-The index holds labelled examples (``EXAMPLES`` in expectation, drawn by a hash of the id from outside the
-held-out fold). Its terms are the words and beginnings of words, each also as "makes up at least 1/256, 1/128,
-1/64 of the words", that chi-square associates with the label, their support counted once per group of near copies. Inverse document frequencies come from all documents. Examples stand in blocks;
-each term keeps its largest weight per block, so the sum of a document's weights times those bounds the
-cosine in a block. Blocks are scored exactly in falling order of the bound until no bound reaches the k-th
-best: the neighbours are exact.
-
-score = (sum of cosine * label + PRIOR_WEIGHT * prior) / (sum of cosine + PRIOR_WEIGHT): without near examples the
-share of toxic examples, with near ones their vote. Null and empty texts score the prior. Equal cosines go
-to the smaller id. Without labelled rows every score is 0. Repeated ids among labels count once, toxic if any
-is; repeated documents are rows of their own; other columns are ignored.
+The index holds labelled examples from outside the held-out fold, ``PER_LABEL`` of each label in expectation, drawn by a
+hash of the id. Its terms are all words of all examples. Where chi-square over the examples says that they tell the
+labels apart, beginnings of words (four to seven letters) are terms too, and so is "these make up at least 1/256, 1/128,
+1/64 of the words". A term weighs (1 + ln count) * idf * telling: idf from all documents, telling the square root of its
+chi-square, 1 where that is within chance. Supports are counted once per group of near copies.
+
+Examples stand in blocks, those of one weightiest term together; each term keeps its largest weight per block, so the
+sum of a document's weights times those bounds the cosine in a block. Blocks are scored exactly in falling order of the
+bound until no bound reaches the k-th best: the neighbours are exact. An example's vote weighs the square of
+its cosine over its label's drawing rate. The share of toxic votes is turned into a probability by isotonic regression, fitted on
+the quarter of the examples (whole groups of near copies) that the index and the weights do without.
+
+Null and empty texts, and texts that share no term with an example, score the prior. Equal cosines go to the smaller id.
+Without labelled rows of both labels every score is the prior, 0 without any. Repeated ids among labels count once, toxic if any
+is; all texts of an id among documents are examples under its label. Repeated documents are rows of their own; an
+empty table gives an empty result; very long texts are counted whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,52 +25,68 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.textkernel import Powers, PrefixHash, cut, held_out, mix, over_text, word_bounds
 
-EXAMPLES = 8000
-TERMS = 4096
+PER_LABEL = 2000
 SUPPORT = 3
-#: How much oftener than usual the examples with a term must be toxic (one half is always enough).
-LIFT = 4
 NEIGHBOURS = 12
-PRIOR_WEIGHT = 1.5
 BLOCK = 64
 PREFIXES = (4, 5, 6, 7)
-#: Shares of a document's words, as 1 / level, from which on a term counts as frequent.
+#: Shares of a document's words, as 1 / level, from which on a word or beginning counts as frequent.
 LEVELS = (256, 128, 64)
+#: One in so many groups of near copies is for calibration.
+CALIBRATE = 4
 #: Words whose terms a worker remembers.
 REMEMBERED = 200_000
 THRESHOLD = 0.7
 #: Word bytes: as elsewhere, and the apostrophe.
 _KEEP = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 or c == 39 else 32 for c in range(256))
+WORD, BEGINNING = 0, 1
+MASK = (1 << 64) - 1
 
 
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_KEEP).split()
 
 
-def terms_of(word: bytes) -> list[str]:
-    """The word itself and its beginnings: inflected and compound forms share those."""
+def stems_of(word: bytes) -> tuple[int, ...]:
+    """Numbers of a word and of its beginnings, which inflected and compound forms share."""
     w = word.decode(errors="replace")
-    return [w, *("^" + w[:n] for n in PREFIXES if len(w) >= n)]
+    return xxhash.xxh64_intdigest(word, WORD), *(xxhash.xxh64_intdigest(w[:n].encode(), BEGINNING) for n in PREFIXES if len(w) >= n)
 
 
-def levels_of(count: int, words: int) -> list[int]:
-    """Levels that a term with ``count`` occurrences among ``words`` reaches; a single one is no share."""
-    return [v for v in LEVELS if count > 1 and count * v >= words]
+def frequent(stem, level: int):
+    """Number of "this stem makes up at least 1 / level of the words"; of one number or of an array."""
+    if isinstance(stem, np.ndarray):
+        return (stem ^ np.uint64(level * 0x9E3779B97F4A7C15 & MASK)) * np.uint64(0xD6E8FEB86659FD93)
+    return (stem ^ (level * 0x9E3779B97F4A7C15 & MASK)) * 0xD6E8FEB86659FD93 & MASK
 
 
-def all_terms(text: str) -> set[str]:
-    """Terms of a text, with ``term~level`` for the frequent ones."""
+def terms_of(text: str, known: dict, stems: frozenset[int] | None = None) -> dict[int, int]:
+    """Numbers of a text's terms: words with their counts; beginnings, and what is frequent, with 0. Of the latter two only
+    those of ``stems``, if given. ``known`` remembers words."""
     words = words_of(text)
-    count: Counter[str] = Counter()
+    out: dict[int, int] = {}
+    more: dict[int, int] = {}
     for word, n in Counter(words).items():
-        for t in terms_of(word):
-            count[t] += n
-    return {*count, *(f"{t}~{v}" for t, n in count.items() for v in levels_of(n, len(words)))}
+        own = known.get(word)
+        if own is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            every = stems_of(word)
+            own = known[word] = every[0], every if stems is None else tuple(s for s in every if s in stems)
+        out[own[0]] = n
+        for s in own[1]:
+            more[s] = more.get(s, 0) + n
+    for s, n in more.items():
+        out.setdefault(s, 0)
+        if n > 1 and n * LEVELS[0] >= len(words):
+            out.update((frequent(s, v), 0) for v in LEVELS if n * v >= len(words))
+    return out
 
 
 def _copy_group(raw: bytes, powers: Powers) -> int:
@@ -81,188 +102,256 @@ def _copy_group(raw: bytes, powers: Powers) -> int:
     return int(mix(total).min().view(np.int64))
 
 
-def choose_terms(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> tuple[DataFrame, list[str]]:
-    """The drawn examples (doc_id, toxic) and the terms of the index.
-
-    Of each group of near copies one example speaks, that of the smallest id, toxic if any of them is."""
-    rated = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    n = rated.count()
+class Examples:
+    """Labelled texts as rows of arrays; ``term``, ``count`` and ``row`` run together."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bytes, bytes]], rates: list[float]) -> None:
+        rows = sorted(rows)
+        self.doc, self.toxic, self.group = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        self.term = np.frombuffer(b"".join(r[3] for r in rows), np.uint64)
+        self.count = np.frombuffer(b"".join(r[4] for r in rows), np.int32)
+        self.row = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
+        self.rate = np.array(rates)[self.toxic] if len(rows) else np.zeros(0)
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def of(self, mask: np.ndarray) -> Examples:
+        out = Examples([], [])
+        new, keep = np.cumsum(mask) - 1, mask[self.row]
+        out.doc, out.toxic, out.group, out.rate = (x[mask] for x in (self.doc, self.toxic, self.group, self.rate))
+        out.term, out.count, out.row = self.term[keep], self.count[keep], new[self.row[keep]]
+        return out
+
+    def speakers(self) -> Examples:
+        """One of each group of near copies, that of the smallest id, toxic if any of them is."""
+        groups, first, at = np.unique(self.group, return_index=True, return_inverse=True)
+        mask = np.zeros(len(self), bool)
+        mask[first] = True
+        out = self.of(mask)
+        toxic = np.zeros(len(groups), np.int64)
+        np.maximum.at(toxic, at, self.toxic)
+        out.toxic = toxic[np.searchsorted(groups, out.group)]
+        return out
+
+
+def telling(x: Examples) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All terms of the examples, sorted; the root of their chi-square where it is beyond chance, else 1; and which are."""
+    s = x.speakers()
+    terms = np.unique(x.term)
+    at = np.searchsorted(terms, s.term)
+    n, t = np.bincount(at, minlength=len(terms)).astype(float), np.bincount(at, s.toxic[s.row], len(terms))
+    total, bad = float(len(s)), float(s.toxic.sum())
+    chance = 2 * math.log(max(int((n >= SUPPORT).sum()), 2)) + 4
+    gap = t * total - n * bad
+    chi = gap * gap * total / np.maximum(n * (total - n) * bad * (total - bad), 1e-9)
+    sure = (n >= SUPPORT) & (n < total) & (chi >= chance)
+    return terms, np.where(sure, np.sqrt(chi), 1.0), sure
+
+
+def draw_examples(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[Examples, float]:
+    """The drawn examples with all their terms, and the share of toxic rows among all labelled ones."""
+    rated = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long")).agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in rated.groupBy("toxic").count().collect()}
+    rates = [min(1.0, per_label / max(n.get(k, 0), 1)) for k in (0, 1)]
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = cut(rated.filter(draw < (examples / max(n, 1))))
-    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
-    texts = cut(texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "h"]))  # about `examples` rows, broadcast two numbers each
-
-    def groups():
-        powers = Powers()
-        return lambda texts: [pa.array([_copy_group(t.as_py().lower().encode(), powers) for t in texts], pa.int64())]
+    drawn = cut(rated.filter(draw < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])))
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    texts = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates()  # about 2 * per_label rows, broadcast two numbers each
 
-    grouped = over_text(texts, groups, "grp long", ["doc_id", "h", "toxic"])
-    speakers = grouped.groupBy("grp").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.max("toxic").alias("toxic"))
-    speakers = cut(speakers.select("r.doc_id", "r.h", "toxic"))
-    per = speakers.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    total, bad = per["n"], per["t"] or 0
-    if not total or not bad or bad == total:
-        return drawn, []
+    def make():
+        powers, known = Powers(), {}
 
-    def count(batches):
-        n: Counter[str] = Counter()
-        t: Counter[str] = Counter()
+        def work(texts: pa.Array) -> list[pa.Array]:
+            own = [t.as_py() for t in texts]
+            terms = [terms_of(t, known) for t in own]
+            groups = [_copy_group(t.lower().encode(), powers) for t in own]
+            return [pa.array(groups, pa.int64()), pa.array([np.array(list(t), np.uint64).tobytes() for t in terms], pa.binary()), pa.array([np.array(list(t.values()), np.int32).tobytes() for t in terms], pa.binary())]
 
-        def told():
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([t[w] for w in n], pa.int64())], ["word", "n", "t"])
+        return work
 
-        for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = all_terms(text.as_py())
-                n.update(found)
-                if label:
-                    t.update(found)
-                if len(n) > REMEMBERED:
-                    yield told()
-                    n.clear(), t.clear()
-        yield told()
-
-    spoken = texts.drop("toxic").join(F.broadcast(speakers), ["doc_id", "h"]).select("text", "toxic")
-    seen = spoken.mapInArrow(count, "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    seen = cut(seen.filter(F.col("n") >= SUPPORT))
-    a, n_, t_ = F.col("t"), F.col("n"), F.lit(float(bad))
-    gap = a * float(total) - n_ * t_
-    chi = gap * gap * float(total) / (n_ * (float(total) - n_ + 1e-9) * t_ * (float(total) - t_))
-    least = 2 * math.log(max(seen.count(), 2)) + 4
-    top = seen.withColumn("chi", chi).filter((F.col("chi") >= least) & (a / n_ >= min(LIFT * bad / total, 0.5))).orderBy(F.col("chi").desc(), "word").limit(terms).select("word", "chi").collect()
-    return drawn, without_nested([(r["word"], r["chi"]) for r in top])
-
-
-def without_nested(found: list[tuple[str, float]]) -> list[str]:
-    """Terms (with their chi-square, best first) without those that only repeat what a beginning or a continuation says better.
-
-    A word and its beginnings occur together; of two that do, the one of larger chi-square stays, of equals the longer."""
-    best: dict[str, float] = {}
-    for term, chi in found:
-        stem = term.split("~")[0]
-        best[stem] = max(best.get(stem, 0.0), chi)
-    gone = set()
-    for stem, chi in best.items():
-        body = stem.lstrip("^")
-        for n in PREFIXES:
-            short = "^" + body[:n]
-            if short != stem and len(body) >= n and short in best:
-                gone.add(stem if best[short] > chi else short)
-    return [term for term, _ in found if term.split("~")[0] not in gone]
-
-
-def features(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
-    """Columns ``keep``, then the numbers of the index terms in each whole text and their counts."""
+    rows = over_text(texts, make, "grp long, terms binary, counts binary", ["doc_id", "toxic"]).collect()
+    share = n.get(1, 0) / max(sum(n.values()), 1)
+    return Examples([(r["doc_id"], r["toxic"], r["grp"], bytes(r["terms"]), bytes(r["counts"])) for r in rows], rates), share
 
-    def make():
-        place, known = {w: i for i, w in enumerate(terms)}, {}
-        stems = {t: k for k, t in enumerate(sorted({w.split("~")[0] for w in terms}))}
-        plain = {k: place[t] for t, k in stems.items() if t in place}
-        frequent = {k: {v: place[f"{t}~{v}"] for v in LEVELS if f"{t}~{v}" in place} for t, k in stems.items()}
-
-        def of(text: str) -> dict[int, int]:
-            words, stem = words_of(text), {}
-            for word in words:
-                at = known.get(word)
-                if at is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    at = known[word] = [stems[t] for t in terms_of(word) if t in stems]
-                for k in at:
-                    stem[k] = stem.get(k, 0) + 1
-            own = {plain[k]: n for k, n in stem.items() if k in plain}
-            for k, n in stem.items():
-                own.update((i, 1) for v, i in frequent[k].items() if n > 1 and n * v >= len(words))
-            return own
 
-        def work(texts: pa.Array) -> list[pa.Array]:
-            found = [sorted(of(t.as_py() or "").items()) for t in texts]
-            return [pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+class Space:
+    """The terms of the index, sorted, their weight beside idf, and the stems that a text is searched for."""
 
-        return work
+    def __init__(self, x: Examples) -> None:
+        terms, weight, sure = telling(x)
+        words = np.zeros(len(terms), bool)
+        words[np.searchsorted(terms, x.term[x.count > 0])] = True
+        told = terms[sure]
+        stems = [terms[sure & ~words], *(terms[np.isin(frequent(terms, v), told)] for v in LEVELS)]
+        self.terms, self.weight = terms[words | sure], weight[words | sure]
+        self.stems = frozenset(np.concatenate(stems).tolist())
 
-    return over_text(docs, make, "ids array<int>, counts array<int>", keep)
+    def places(self) -> dict[int, int]:
+        return {t: k for k, t in enumerate(self.terms.tolist())}
 
 
-def unit_weights(ids, counts, idf: np.ndarray) -> np.ndarray:
-    """(1 + ln count) * idf, scaled to length 1."""
-    w = (1.0 + np.log(np.asarray(counts, float))) * idf[ids]
+def unit_weights(ids: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """(1 + ln count) * weight, scaled to length 1."""
+    w = (1.0 + np.log(np.maximum(counts, 1))) * weight[ids]
     return w / np.sqrt((w * w).sum())
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start[0]..end[0]-1, start[1]..end[1]-1, and so on."""
+    n = end - start
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class BlockMax:
-    """Inverted index over examples in blocks. Rows of (doc_id, toxic, ids, unit weights)."""
+    """Inverted index over examples in blocks. Rows of (doc_id, toxic, weight of its vote, ids, unit weights)."""
 
-    def __init__(self, rows: list[tuple[int, int, list[int], np.ndarray]], terms: int) -> None:
+    def __init__(self, rows: list[tuple[int, int, float, np.ndarray, np.ndarray]], terms: int) -> None:
         # Examples that share their weightiest term stand together, which makes the bounds tight.
-        rows = sorted(rows, key=lambda r: (int(r[2][int(np.argmax(r[3]))]), r[0]))
-        self.doc = np.array([r[0] for r in rows], np.int64)
-        self.toxic = np.array([r[1] for r in rows], float)
-        lens = [len(r[2]) for r in rows]
-        term = np.array([t for r in rows for t in r[2]], np.int64)
-        weight = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0)
-        example = np.repeat(np.arange(len(rows)), lens)
-        order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order], weight[order]
+        rows = sorted((r for r in rows if len(r[3])), key=lambda r: (int(r[3][int(np.argmax(r[4]))]), r[0]))
+        self.doc, self.toxic, self.say = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
         self.blocks = -(-len(rows) // BLOCK)
-        self.most = np.zeros((terms, max(self.blocks, 1)))
-        np.maximum.at(self.most, (term, self.example // BLOCK), self.weight)
-        bounds = np.arange(terms)[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)[None, :]
-        self.start = np.searchsorted(term * (self.blocks + 1) + self.example // BLOCK, bounds)
-
-    def nearest(self, ids: list[int], q: np.ndarray, k: int) -> list[tuple[float, int]]:
+        if not rows:
+            return
+        term, weight = np.concatenate([r[3] for r in rows]).astype(np.int64), np.concatenate([r[4] for r in rows])
+        example = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        block = self.example // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        self.of_entry = np.append(first, len(term))  # an entry for each term and block: where its examples are
+        self.entry_block, self.most = block[first], np.maximum.reduceat(self.weight, first)
+        self.of_term = np.searchsorted(term[first], np.arange(terms + 1))
+
+    def nearest(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with cosine over 0."""
-        bound = q @ self.most[ids]
+        if not self.blocks or not len(ids):
+            return []
+        start, end = self.of_term[ids], self.of_term[ids + 1]
+        entry, q = _ranges(start, end), np.repeat(q, end - start)
+        block = self.entry_block[entry]
+        bound = np.bincount(block, q * self.most[entry], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        found: list[tuple[float, int]] = []
-        score = np.zeros(BLOCK)
-        for b in order.tolist():
-            if bound[b] <= 0 or len(found) >= k and bound[b] < found[k - 1][0] - 1e-12:
-                break
-            score[:] = 0
-            for t, w in zip(ids, q):
-                i, j = self.start[t, b], self.start[t, b + 1]
-                if j > i:
-                    score[self.example[i:j] - b * BLOCK] += self.weight[i:j] * w
-            hit = np.flatnonzero(score)
-            found += zip(score[hit].tolist(), (hit + b * BLOCK).tolist())
-            found.sort(key=lambda x: (-round(x[0], 12), self.doc[x[1]]))
-            del found[k:]
-        return found
-
-
-def vote(found: list[tuple[float, int]], toxic: np.ndarray, prior: float) -> float:
-    total = sum(s for s, _ in found)
-    return min(1.0, max(0.0, (sum(s * toxic[i] for s, i in found) + PRIOR_WEIGHT * prior) / (total + PRIOR_WEIGHT)))
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, examples: int = EXAMPLES) -> DataFrame:
+        order = order[bound[order] > 0]
+        score, hit, i, step, least = np.zeros(0), np.zeros(0, np.int64), 0, 4, -1.0
+        while i < len(order) and bound[order[i]] >= least - 1e-9:
+            open_ = np.zeros(self.blocks, bool)
+            open_[order[i : i + step]] = True
+            at = open_[block]
+            start, end = self.of_entry[entry[at]], self.of_entry[entry[at] + 1]
+            posting = _ranges(start, end)
+            own = np.bincount(self.example[posting], self.weight[posting] * np.repeat(q[at], end - start))
+            new = np.flatnonzero(own)
+            score, hit = np.concatenate([score, own[new]]), np.concatenate([hit, new])
+            if len(score) > k:
+                near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9)
+                best = near[np.lexsort((self.doc[hit[near]], -np.round(score[near], 12)))][:k]
+                score, hit = score[best], hit[best]
+                least = score.min()
+            i, step = i + step, 2 * step
+        best = np.lexsort((self.doc[hit], -np.round(score, 12)))
+        return list(zip(score[best].tolist(), hit[best].tolist()))
+
+    def share(self, found: list[tuple[float, int]]) -> float | None:
+        """Share of toxic votes, None without any."""
+        at = [i for _, i in found]
+        w = np.array([s * s for s, _ in found]) * self.say[at] if found else np.zeros(0)
+        return float(w @ self.toxic[at] / w.sum()) if w.sum() > 0 else None
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Monotone steps of least squares as (mean x, value); each step's value is drawn to ``prior`` by one row's weight."""
+    steps: list[list[float]] = []
+    for a in np.unique(x):
+        at = x == a
+        steps.append([w[at].sum(), (w[at] * y[at]).sum(), (w[at] * x[at]).sum()])
+        while len(steps) > 1 and steps[-2][1] * steps[-1][0] >= steps[-1][1] * steps[-2][0]:
+            last = steps.pop()
+            steps[-1] = [p + q for p, q in zip(steps[-1], last)]
+    n, t, at = np.array(steps).T
+    return at / n, np.maximum.accumulate((t + prior) / (n + 1))
+
+
+def fitted(docs: DataFrame, x: Examples, prior: float) -> tuple[Space, np.ndarray, BlockMax, tuple[np.ndarray, np.ndarray] | None]:
+    """Terms, their weights, the index, and the curve from the share of votes to a probability."""
+    away = mix(x.group.view(np.uint64) + np.uint64(1)) % np.uint64(CALIBRATE) == 0
+    own, rest = x.of(~away), x.of(away)
+    space = Space(own)
+    n, df = 0, np.zeros(len(space.terms))
+    for r in document_frequencies(docs, space).collect():  # a row per term of the index
+        if r["term"] < 0:
+            n = r["n"]
+        else:
+            df[r["term"]] = r["n"]
+    weight = (np.log((1.0 + n) / (1.0 + df)) + 1.0) * space.weight
+
+    def vectors(e: Examples):
+        place = np.minimum(np.searchsorted(space.terms, e.term), max(len(space.terms) - 1, 0))
+        known = space.terms[place] == e.term if len(space.terms) else np.zeros(len(e.term), bool)
+        place, count, at = place[known], e.count[known], np.searchsorted(e.row[known], np.arange(len(e) + 1))
+        return [(place[a:b], unit_weights(place[a:b], count[a:b], weight)) for a, b in zip(at, at[1:])]
+
+    index = BlockMax([(int(d), int(t), 1.0 / r, *v) for d, t, r, v in zip(own.doc, own.toxic, own.rate, vectors(own))], len(space.terms))
+    votes = [(s, t, 1.0 / r) for v, t, r in zip(vectors(rest), rest.toxic, rest.rate) if (s := index.share(index.nearest(*v, NEIGHBOURS))) is not None]
+    curve = None
+    if len({t for _, t, _ in votes}) == 2:
+        curve = isotonic(*(np.array(c, float) for c in zip(*votes)), prior)
+    return space, weight, index, curve
+
+
+def _features(shared):
+    """Text -> places of its terms, and counts. ``shared``: terms and stems, broadcast."""
+    terms, stems = shared
+    places, known = {t: k for k, t in enumerate(terms.tolist())}, {}
+
+    def of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        found = [(p, n) for t, n in terms_of(text, known, stems).items() if (p := places.get(t)) is not None] if text else []
+        ids, counts = np.array(found, np.int64).reshape(-1, 2).T
+        return ids, counts
+
+    return of
+
+
+def document_frequencies(docs: DataFrame, space: Space) -> DataFrame:
+    """term (place), n: number of documents with each term; of all documents under -1."""
+    shared, size = docs.sparkSession.sparkContext.broadcast((space.terms, space.stems)), len(space.terms)
+
+    def kernel(batches):
+        of, n, df = _features(shared.value), 0, np.zeros(size, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                df[of(text.as_py())[0]] += 1
+            n += len(batch)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["term", "n"])
+
+    return docs.select("text").mapInArrow(kernel, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, per_label: int = PER_LABEL) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (``doc_id:cosine:label`` of the three nearest examples)."""
     fold = F.coalesce(held_out("doc_id", 3, 1), F.lit(True))
-    drawn, terms = choose_terms(docs, labels.filter(~fold), examples)
-    share = drawn.agg(F.avg("toxic").alias("p")).first()["p"]
-    feats = cut(features(docs.select(F.col("doc_id").cast("long"), fold.alias("held_out"), "text"), terms, ["doc_id", "held_out"]))
-    n = feats.count()
-    df = np.zeros(max(len(terms), 1))
-    for r in feats.select(F.explode("ids").alias("i")).groupBy("i").count().collect():  # one row per term
-        df[r["i"]] = r["count"]
-    idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    known = feats.filter(F.size("ids") > 0).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "ids", "counts").collect()
-    index = BlockMax([(r["doc_id"], r["toxic"], list(r["ids"]), unit_weights(list(r["ids"]), list(r["counts"]), idf)) for r in known], max(len(terms), 1))
-    prior = float(share or 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast((vars(index), idf))  # about `examples` short rows; arrays only, as workers may lack the class
+    x, prior = draw_examples(docs, labels.filter(~fold), per_label)
+    space, weight, index, curve = fitted(docs, x, prior) if len(set(x.toxic.tolist())) == 2 else (Space(x.of(np.zeros(len(x), bool))), np.zeros(0), BlockMax([], 0), None)
+    # About 2 * per_label examples; arrays only, as workers may lack the class.
+    shared = docs.sparkSession.sparkContext.broadcast(((space.terms, space.stems), weight, vars(index), curve))
 
-    def kernel(batches):
-        own, idf = shared.value
-        index = BlockMax.__new__(BlockMax)
+    def make():
+        terms, weight, own, curve = shared.value
+        of, index = _features(terms), BlockMax.__new__(BlockMax)
         vars(index).update(own)
-        for batch in batches:
+
+        def work(texts: pa.Array) -> list[pa.Array]:
             scores, evidence = [], []
-            for ids, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found = index.nearest(ids, unit_weights(ids, counts, idf), k) if ids and index.blocks else []
-                scores.append(vote(found, index.toxic, prior))
+            for text in texts:
+                ids, counts = of(text.as_py())
+                found = index.nearest(ids, unit_weights(ids, counts, weight), k) if len(ids) else []
+                share = index.share(found)
+                score = prior if share is None else share if curve is None else np.interp(share, *curve)
+                scores.append(min(1.0, max(0.0, float(score))))
                 evidence.append(",".join(f"{index.doc[i]}:{s:.3f}:{index.toxic[i]:.0f}" for s, i in found[:3]))
-            predicted = pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), predicted, pa.array(evidence, pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
+            return [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, pa.string())]
+
+        return work
 
-    return feats.mapInArrow(kernel, "doc_id long, held_out boolean, score double, predicted int, evidence string")
+    return over_text(docs.select(F.col("doc_id").cast("long"), fold.alias("held_out"), "text"), make, "score double, predicted int, evidence string", ["doc_id", "held_out"])
