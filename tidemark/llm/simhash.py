@@ -1,9 +1,10 @@
 """SimHash near-dedup with Golay-code fuzzy keys.
 
-``fingerprints`` -> ``links`` (distinct fingerprints within four bits) -> ``components`` (smallest id).
+``fingerprints`` -> ``links`` (a star in each run of one key, of fingerprints within four bits) -> ``graph.roots`` -> smallest id.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows and equal texts share a
-fingerprint, hence a component; rows that share a doc_id are each returned. Other columns are ignored.
+fingerprint, hence a component; rows that share a doc_id are each returned. An empty table gives an empty result. A bit
+set in exactly half the shingles is 0. Very long texts are hashed whole, in memory linear in the text. Other columns are ignored.
 Work is on distinct fingerprints, so a group of exact copies of any size is one node.
 """
 
@@ -16,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import golay
+from tidemark.llm.graph import heavy_keys, least_of, roots, spread_join
 from tidemark.llm.textkernel import cut, over_text, shuffle_partitions
 
 #: Fingerprints of one key that a task compares at once; keys with more are cut in blocks, see ``links``.
 GROUP_LIMIT = 20_000
+#: Links that a task holds to drop those that others of its own imply.
+HELD_LINKS = 1 << 20
 #: Keys that one partition of the candidate shuffle should hold.
 PARTITION_KEYS = 1_000_000
 
@@ -88,35 +92,57 @@ def _spanning(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(k: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of equal keys."""
+    """Links inside runs of equal keys, rows sorted by key and fingerprint: a star about the smallest of each component of a run."""
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     size = np.diff(np.append(first, len(k)))
     out = []
     for i in np.flatnonzero(size > 24):
         out.append(_spanning(f[first[i] : first[i] + size[i]], radius))
     keep = np.repeat((size > 1) & (size <= 24), size)
-    k, f, lag = k[keep], f[keep], 1
-    while len(k) > lag:
+    k, f, near = k[keep], f[keep], []
+    for lag in range(1, len(k)):
         same = k[lag:] == k[:-lag]
         if not same.any():
             break
-        a, b = f[:-lag][same], f[lag:][same]
-        near = np.bitwise_count((a ^ b).view(np.uint64)) <= radius
-        out.append((np.minimum(a[near], b[near]), np.maximum(a[near], b[near])))
-        lag += 1
+        at = np.flatnonzero(same)
+        at = at[np.bitwise_count((f[at] ^ f[at + lag]).view(np.uint64)) <= radius]
+        near.append((at, at + lag))
+    if near:
+        i, j = (np.concatenate(x) for x in zip(*near))
+        label = np.arange(len(f))
+        while (label[i] != label[j]).any():
+            low = np.minimum(label[i], label[j])
+            np.minimum.at(label, i, low)
+            np.minimum.at(label, j, low)
+        at = np.flatnonzero(label != np.arange(len(f)))
+        out.append((f[label[at]], f[at]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    a, b = (np.concatenate(x) for x in zip(*out))
+    return a, b
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as connect what these connect: a star about the smallest of each component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while (label[i] != label[j]).any():
+        low = np.minimum(label[i], label[j])
+        for ends in (label[i], label[j]):
+            np.minimum.at(label, ends, low)
+        label = label[label]
+    linked = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[linked]], ids[linked]
 
 
 def _linker(radius: int, limit: int):
-    """Streams rows sorted by key; a key with over ``limit`` rows is reported (kind 1) instead of compared."""
+    """Streams rows sorted by key and fingerprint; a key with over ``limit`` rows is reported (kind 1) instead of compared."""
 
     def batch_of(a, b, kind):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
 
     def kernel(batches):
-        k, f, over = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        k, f, over, found, n = np.zeros(0, np.int64), np.zeros(0, np.int64), None, [], 0
         for batch in batches:
             nk, nf = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if over is not None:
@@ -127,18 +153,21 @@ def _linker(radius: int, limit: int):
                 continue
             last = int(np.searchsorted(k, k[-1], "left"))
             if last:
-                a, b = _compare(k[:last], f[:last], radius)
-                if len(a):
-                    pair = np.unique(np.stack([a, b]), axis=1)
-                    yield batch_of(pair[0], pair[1], 0)
+                found.append(_compare(k[:last], f[:last], radius))
+                n += len(found[-1][0])
                 k, f = k[last:], f[last:]
+                if n > HELD_LINKS:
+                    found = [_forest(*(np.concatenate(x) for x in zip(*found)))]
+                    n = len(found[0][0])
+                    if n > HELD_LINKS // 2:
+                        yield batch_of(*found.pop(), 0)
+                        n = 0
             if len(k) > limit:
                 over = k[0]
                 yield batch_of(k[:1], f[:1], 1)
                 k, f = k[:0], f[:0]
-        if len(k):
-            a, b = _compare(k, f, radius)
-            yield batch_of(a, b, 0)
+        found.append(_compare(k, f, radius))
+        yield batch_of(*_forest(*(np.concatenate(x) for x in zip(*found))), 0)
 
     return kernel
 
@@ -153,7 +182,7 @@ def links(fps: DataFrame, radius: int = golay.RADIUS, limit: int = GROUP_LIMIT)
     parts = max(shuffle_partitions(spark), -(-fps.count() * 190 // PARTITION_KEYS))
     keyed = _keyed(fps)
     schema = "a long, b long, kind int"
-    found = cut(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linker(radius, limit), schema))
+    found = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_linker(radius, limit), schema))
     edges = found.filter("kind = 0").select("a", "b")
     over = found.filter("kind = 1").select(F.col("a").alias("key"))
     if not over.isEmpty():
@@ -163,43 +192,25 @@ def links(fps: DataFrame, radius: int = golay.RADIUS, limit: int = GROUP_LIMIT)
         pairs = own.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("other"))
         group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
         pairs = pairs.select(group.alias("key"), "fp")
-        more = pairs.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linker(radius, 1 << 62), schema)
+        more = pairs.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_linker(radius, 1 << 62), schema)
         edges = edges.unionByName(more.select("a", "b"))
     return edges.distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, label: smallest node reachable over edges (u, v), by least labels with pointer jumping.
-
-    Labels are written to the shared checkpoint folder each round; nothing is gathered on the driver but a count."""
-    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    label = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).select("node", F.least("node", "label").alias("label"))
-    label = cut(label)
-    for _ in range(max_rounds):
-        heard = both.join(label.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("heard"))
-        step = label.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        target = label.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(step.join(target, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        moved = new.filter("label <> old").limit(1).count()
-        label = new.select("node", "label")
-        if not moved:
-            return label
-    raise RuntimeError("component labels did not settle")
-
-
-def groups(fps: DataFrame, radius: int = golay.RADIUS) -> DataFrame:
-    """fp, first (smallest doc_id of its rows), component_id (smallest doc_id of its component), for each distinct fp of (doc_id, fp).
+def groups(fps: DataFrame, radius: int = golay.RADIUS) -> tuple[DataFrame, DataFrame]:
+    """fp, component_id (smallest doc_id of its component) for each distinct fp of (doc_id, fp); and which fps have very many rows.
 
     Fingerprints are the nodes, so rows without a doc_id link others like any row; a component of such rows only has
     no component_id."""
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    label = components(links(distinct, radius).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labelled = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return labelled.join(least, "label").select("fp", "first", "component_id", "label")
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    linked = roots(links(distinct, radius)).withColumnRenamed("node", "fp")
+    linked = least_of(linked.join(distinct.select("fp", "first"), "fp"), "first").select("fp", "least")
+    own = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    return own, heavy_keys(distinct, "fp", "n")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = golay.RADIUS) -> DataFrame:
     """doc_id, fp (long), component_id: one row per row of docs."""
     fps = cut(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), words))
-    return fps.join(groups(fps, radius).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    own, heavy = groups(fps, radius)
+    return spread_join(fps, own, "fp", heavy).select("doc_id", "fp", "component_id")

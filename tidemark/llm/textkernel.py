@@ -6,6 +6,9 @@ windows of that buffer with a polynomial prefix hash modulo 2**64, so no Python
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +20,17 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 PASS_BYTES = 1 << 19
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; choose a folder only where none is set, as in tests."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Where none is set a folder is chosen on one machine, as in tests; a cluster must name one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or "/tmp/checkpoints/tidemark")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,6 +39,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Tables:
+    """Intermediate tables in a folder of their own in the shared one, until ``drop``."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.n = spark, 0
+        self.folder = f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def over_text(docs: DataFrame, make, added: str, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all by default), then those of the schema text ``added``, which ``make()`` gives a function for: text array -> arrays.
 
