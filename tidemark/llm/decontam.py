@@ -1,28 +1,33 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-Words are lower-cased runs of letters, digits and non-ASCII bytes. An item of m words is looked for in
-windows of m words (the whole text where it is shorter). A window of similarity ``SIMILARITY`` shares at least
-one five-word shingle with the item, so windows are laid where a shingle of an item occurs, at every
-alignment that a shared shingle gives. Each window's SimHash is looked up among the items' in eight blocks of eight bits: of at
+Words are lower-cased runs of letters, digits and non-ASCII bytes; documents and items are lower-cased by one
+function. An item of m words is looked for in windows of m words (the whole text where it is shorter). A window of similarity
+``SIMILARITY`` shares all but few of the item's five-word shingles, so it shares one of the item's rarest few, its gates:
+an item whose gates a text lacks is in none of its windows, and a shingle that many items have opens
+few. Windows are laid at every alignment that a shingle shared with an item behind an open gate gives. Each window's
+SimHash is looked up among the items' in eight blocks of eight bits: of at
 most ``RADIUS`` differing bits some block has two or fewer, so probing every block value within two bits misses
 none. Candidates are verified by the weighted (multiset) Jaccard similarity of their shingles.
 
 Result: a row per document and item found, with its best window. Null and empty texts and items have no
-window. Ties of similarity go to the first window. Repeated rows and ids are rows of their own; an empty
-benchmark finds nothing. Other columns are ignored.
+window. Ties of similarity go to the first window. Repeated rows and ids are rows of their own; an empty table or
+an empty benchmark finds nothing. Very long texts are searched whole, a text at a time. Other columns are ignored.
+
+The benchmark is taken in slices of ``SLICE_BYTES`` of text, the bound of what is collected and broadcast at a time; each
+slice is a pass over the documents of its own, stored before the next slice is read.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textkernel import Powers, PrefixHash, mix, passes, text_buffer, word_bounds
+from tidemark.llm.textkernel import Powers, PrefixHash, cut, mix, passes, text_buffer, word_bounds
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -34,6 +39,10 @@ SLICE_BYTES = 16 << 20
 MASKS = np.array([m for m in range(256) if m.bit_count() <= 2])
 
 
+def lowered(text: str | None) -> bytes:
+    return (text or "").lower().encode()
+
+
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hash of the ``size`` words from each word on; the last ones reach into the next row."""
     total = np.zeros(len(words), np.uint64)
@@ -57,21 +66,30 @@ def simhash(shingles: np.ndarray) -> np.uint64:
 class Items:
     """Shingle index and SimHash block tables of one slice of the benchmark."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        powers, self.ids, self.words, self.bags, prints = Powers(), [], [], [], []
-        where: dict[int, list[tuple[int, int]]] = {}
+    def __init__(self, rows: list[tuple[int, str]], similarity: float) -> None:
+        powers, self.ids, self.words, self.bags, self.offsets, prints = Powers(), [], [], [], [], []
         for item, text in rows:
-            raw = np.frombuffer((text or "").lower().encode(), np.uint8)
+            raw = np.frombuffer(lowered(text), np.uint8)
             starts, ends, _ = word_bounds(raw, np.array([0, len(raw)]))
             if not len(starts):
                 continue
             s = own_shingles(PrefixHash(raw, powers).of(starts, ends))
+            where: dict[int, list[int]] = {}
             for offset, h in enumerate(s.tolist()):
-                where.setdefault(h, []).append((len(self.ids), offset))
+                where.setdefault(h, []).append(offset)
+            self.offsets.append(where)
             self.ids.append(item), self.words.append(len(starts)), self.bags.append(Counter(s.tolist())), prints.append(simhash(s))
-        self.where = where
+        common = Counter(h for where in self.offsets for h in where)
+        self.gates: dict[int, list[int]] = {}
+        for k, bag in enumerate(self.bags):
+            missing = bag.total() - math.ceil(similarity * bag.total() - 1e-9)  # so many shingles, at most, a similar window lacks
+            for h in sorted(bag, key=lambda h: (common[h], h)):
+                self.gates.setdefault(h, []).append(k)
+                missing -= bag[h]
+                if missing < 0:
+                    break
         self.short = sorted({n for n in self.words if n < SHINGLE})
-        self.hashes = np.sort(np.array(list(where), np.uint64))
+        self.hashes = np.sort(np.array(list(common), np.uint64))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.prints = np.array(prints, np.uint64)
@@ -109,12 +127,15 @@ def search(raw: np.ndarray, offsets: np.ndarray, items: Items, powers: Powers, s
         row = np.searchsorted(first, at, "right") - 1
         whole = at + size <= first[row + 1]
         hits += [(int(p), int(r), int(x)) for p, r, x in zip(at[whole], row[whole], h[at[whole]])]
-    windows: dict[int, set[tuple[int, int]]] = {}
+    by_row: dict[int, list[tuple[int, int]]] = {}
     for p, row, h in hits:
+        by_row.setdefault(row, []).append((p, h))
+    windows: dict[int, set[tuple[int, int]]] = {}
+    for row, own in by_row.items():
         lo, hi = int(first[row]), int(first[row + 1])
-        for item, offset in items.where[h]:
-            m = min(items.words[item], hi - lo)
-            windows.setdefault(row, set()).add((min(max(p - offset, lo), hi - m), m))
+        for item in {k for _, h in own for k in items.gates.get(h, ())}:
+            m, offsets = min(items.words[item], hi - lo), items.offsets[item]
+            windows.setdefault(row, set()).update((min(max(p - offset, lo), hi - m), m) for p, h in own for offset in offsets.get(h, ()))
     for row, found in windows.items():
         best: dict[int, tuple[float, int, int]] = {}
         for start, m in sorted(found):
@@ -132,18 +153,32 @@ def search(raw: np.ndarray, offsets: np.ndarray, items: Items, powers: Powers, s
 
 
 def _slices(benchmark: DataFrame, slice_bytes: int):
-    """The benchmark's items, about ``slice_bytes`` of text at a time, broadcast."""
+    """The benchmark's items, about ``slice_bytes`` of text at a time, broadcast; and whether there is more than one slice.
+
+    A slice leaves the driver and the executors before the next one comes."""
+    spark = benchmark.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     slices = int(size // slice_bytes) + 1
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
     for k in range(slices):
-        yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.filter(number == k).collect()])
+        shared = spark.sparkContext.broadcast({"rows": [(r["item_id"], r["text"]) for r in items.filter(number == k).collect()]})
+        yield shared, slices > 1
+        if slices > 1:
+            shared.destroy()
+
+
+def _items(shared, similarity: float) -> Items:
+    """Made once in a worker, which keeps the broadcast value."""
+    held = shared.value
+    if "items" not in held:
+        held["items"] = Items(held["rows"], similarity)
+    return held["items"]
 
 
 def _hits(texts: pa.Array, items: Items, powers: Powers, similarity: float):
     """(row, item number, similarity, first word, words) of a whole column."""
-    raw, offsets = text_buffer(pc.utf8_lower(texts))
+    raw, offsets = text_buffer(pa.array([lowered(t.as_py()) for t in texts], pa.large_binary()))
     for i, j in passes(offsets):
         for row, *hit in search(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], items, powers, similarity):
             yield i + row, *hit
@@ -155,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     def against(shared) -> DataFrame:
         def kernel(batches):
-            items, powers = Items(shared.value), Powers()
+            items, powers = _items(shared, similarity), Powers()
             for batch in batches:
                 doc = batch.column(0)
                 out = [(doc[row].as_py(), items.ids[item], s, start, m) for row, item, s, start, m in _hits(batch.column(1), items, powers, similarity)]
@@ -165,8 +200,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, schema)
 
     out = None
-    for shared in _slices(benchmark, slice_bytes):
-        one = against(shared)
+    for shared, several in _slices(benchmark, slice_bytes):
+        one = cut(against(shared)) if several else against(shared)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -178,7 +213,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         at = rows.columns.index("text")
 
         def kernel(batches):
-            items, powers = Items(shared.value), Powers()
+            items, powers = _items(shared, similarity), Powers()
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 keep[[row for row, *_ in _hits(batch.column(at), items, powers, similarity)]] = False
@@ -186,6 +221,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
         return rows.mapInArrow(kernel, rows.schema)
 
-    for shared in _slices(benchmark, slice_bytes):
-        docs = without(docs, shared)
+    for shared, several in _slices(benchmark, slice_bytes):
+        docs = cut(without(docs, shared)) if several else without(docs, shared)
     return docs
