@@ -4,11 +4,14 @@ A text is cut into paragraphs at line ends, and a long line further where its co
 word is 0 modulo ``PIECE_WORDS``), so an edit changes the pieces it touches and no others. Each distinct piece has a 64-bit
 digest, added to one cell in each third of a small table of (count, xor of digests, xor of checks). Two
 tables of one size subtract cell by cell; peeling single-digest cells recovers what the versions do not
-share. Where peeling gets stuck, both versions are sketched again with twice the cells.
+share. The likeness of two texts comes from their fingerprints, sketches of ``CELLS`` cells, where their difference peels;
+where it does not, both are sketched again with cells for all their digests, then with twice the cells. ``cells_edited``
+and ``cells_next`` say at which size each difference was recovered.
 
 Null and empty texts have no piece: the sketch is all zero, and two such texts have likeness 1. Order of
-pieces and repeats do not count. Rows that share a doc_id follow one another in order of their text. The
-next document of the smallest id is that of the largest; a single document is its own next. Other columns
+pieces and repeats do not count. Rows that share a doc_id follow one another in order of their text (of its hash); rows that share
+both are alike. The next document of the smallest id is that of the largest; a single document is its own next. An empty table
+gives an empty result. Very long texts are cut and sketched whole, in memory linear in the text. Other columns
 are ignored.
 """
 
@@ -27,6 +30,8 @@ from tidemark.llm.textkernel import Powers, PrefixHash, cut, mix, passes, rows_o
 CELLS = 24
 PIECE_WORDS = 8
 HASHES = 3
+#: A cell of an encoded sketch: count, xor of digests, low bits of the xor of checks.
+CELL = np.dtype([("c", "<i4"), ("k", "<u8"), ("h", "<u2")])
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
@@ -103,12 +108,12 @@ def peel(offs: np.ndarray, count: np.ndarray, total: np.ndarray, check: np.ndarr
     return np.concatenate(got_o), np.concatenate(got_k), np.concatenate(got_s), whole
 
 
-def differences(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndarray, cells: int = CELLS) -> np.ndarray:
-    """Sizes (n x 2) of what the k-th set of a and of b have alone, from subtracted and peeled sketches."""
+def differences(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes (n x 2) of what the k-th set of a and of b have alone, from subtracted and peeled sketches; and the cells that took."""
     n = len(a_offs) - 1
     out, todo = np.zeros((n, 2), np.int64), np.arange(n)
     na, nb = np.diff(a_offs), np.diff(b_offs)
-    size = np.maximum(cells, (np.abs(na - nb) * 3 // 2 + HASHES) // HASHES * HASHES)
+    size = np.full(n, cells)
     while len(todo):
         new = np.full(n, -1)
         new[todo] = np.arange(len(todo))
@@ -120,23 +125,24 @@ def differences(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.nda
         np.add.at(found, (o, (s < 0).astype(np.int64)), 1)
         out[todo[whole]] = found[whole]
         todo = todo[~whole]
-        size[todo] *= 2
-    return out
+        every = ((na + nb) * 3 // 2 + HASHES) // HASHES * HASHES
+        size[todo] = np.where(size[todo] == cells, np.maximum(every[todo], 2 * cells), 2 * size[todo])
+    return out, size
 
 
-def likeness(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndarray) -> np.ndarray:
-    """Shared digests over all digests."""
-    own = differences(a, a_offs, b, b_offs)
+def likeness(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shared digests over all digests, and the cells that the difference took."""
+    own, cells = differences(a, a_offs, b, b_offs)
     common = np.diff(a_offs) - own[:, 0]
     union = common + own.sum(axis=1)
-    return np.where(union > 0, common / np.maximum(union, 1), 1.0)
+    return np.where(union > 0, common / np.maximum(union, 1), 1.0), cells
 
 
 def encode(digests: np.ndarray, offs: np.ndarray, cells: int = CELLS) -> list[str]:
     """The sketch of each set as text: number of digests, then the cells."""
     n = len(offs) - 1
     _, count, total, check = sketch(digests, rows_of(offs), np.full(n, cells))
-    table = np.zeros((n, cells), np.dtype([("c", "<i2"), ("k", "<u8"), ("h", "<u2")]))
+    table = np.zeros((n, cells), CELL)
     table["c"], table["k"] = count.reshape(n, cells), total.reshape(n, cells)
     table["h"] = check.reshape(n, cells) & np.uint64(0xFFFF)
     return [f"{size}:{base64.b64encode(row.tobytes()).decode()}" for size, row in zip(np.diff(offs).tolist(), table)]
@@ -147,15 +153,23 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def decode(text: str) -> tuple[int, np.ndarray]:
+    """Number of digests and the cells of an encoded sketch."""
+    size, table = text.split(":")
+    return int(size), np.frombuffer(base64.b64decode(table), CELL)
+
+
 def _compare(rows: list[tuple[int, str, str]], powers: Powers) -> pa.RecordBatch:
     own = [t.encode() for _, t, _ in rows]
     changed = [_edited(t, f).encode() for _, t, f in rows]
     a, e, f = (piece_digests(x, powers) for x in (own, changed, [x[2].encode() for x in rows]))
-    columns = [[x[0] for x in rows], [len(x[1]) for x in rows], [hashlib.sha256(x).hexdigest() for x in changed], encode(*a), encode(*e), likeness(*a, *e), likeness(*a, *f)]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+    near_edited, near_next = likeness(*a, *e), likeness(*a, *f)
+    columns = [[x[0] for x in rows], [len(x[1]) for x in rows], [hashlib.sha256(x).hexdigest() for x in changed], encode(*a), encode(*e), near_edited[0], near_next[0], near_edited[1], near_next[1]]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, cells_edited long, cells_next long"
 
 
 def _kernel(batches):
