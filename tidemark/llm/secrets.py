@@ -1,12 +1,15 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of twelve or more key characters that holds a digit. Its features are its length, shares of character
-classes, character transitions, spread of characters, dictionary coverage, what the path says and the words
-beside it. The forest is trained on labelled findings (a table of candidate, context, path, label); with none
-given, on ``labelled_findings``, made here from a seed. Features, training and scoring are DataFrame and MLlib operations.
-
-Null and empty texts have no candidate. Rows are independent: repeated rows and ids are rows of their own.
-A null path says nothing. Other columns are ignored.
+A candidate is a run of twelve or more key characters that holds a digit, or any run of six or more characters behind
+a telling name and an assignment (``password = ...``), so letters alone are found there only. Its features are its length,
+shares of character classes, character transitions, spread of characters, dictionary coverage, what the path says and
+the words beside it, across an earlier candidate too. The forest is trained on labelled findings (a table of candidate,
+context, path, label); with none given, on ``labelled_findings``, made here from a seed. Features, training and scoring are
+DataFrame and MLlib operations.
+
+Null and empty texts have no candidate. Rows are independent: repeated rows and ids are rows of their own. A null path says
+nothing. A probability at the threshold is a secret. An empty table gives an empty result. Very long texts are searched whole; places
+of candidates come from sums over blocks of them, so the time does not grow with their square. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +22,19 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.textkernel import cut
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
+_NAME = r"(?:passw(?:or)?d|pwd|secret|token|api.?key|access.?key|private.?key)"
+_KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
+_ASSIGNED = r"(?<=[:=\s\"'])(?=[^\s\"'<>]{6})(?<=" + _NAME + r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?)[^\s\"'<>]{6,64}"
+CANDIDATE = f"{_KEY}|(?i:{_ASSIGNED})"
+#: What a text with a candidate holds.
+HINT = rf"[0-9]|(?i:{_NAME}[\"']?\s{{0,2}}[:=])"
+#: Candidates whose lengths are summed at once.
+RUN = 64
 CONTEXT = 48
-FINDINGS = 4000
+FINDINGS = 5000
 THRESHOLD = 0.5
-#: Rows with secrets (an id and a few keys each) that are broadcast at most.
-SMALL = 200_000
+#: Bytes of rows with secrets (an id and the keys each) that are broadcast at most.
+SMALL = 32 << 20
 SECRET_WORDS = r"(token|secret|passw|passwd|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)"
 NOISE_WORDS = r"(sha|md5|checksum|digest|hash|commit|uuid|guid|version|serial|isbn|doi|build|order|card|phone|call|id\b)"
 PLACEHOLDER = r"(example|sample|dummy|changeme|placeholder|your|xxxx|test|fake|redacted|insert|1234567)"
@@ -89,7 +99,10 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 11) ->
     number = F.translate(F.substring(long, 1, 16), "abcdef", "123456")
     path = F.concat_ws("/", pick("p1", "src", "usr", "var", "home"), pick("p2", "lib", "data", "image", "module"), pick("p3", "file2", "page10", "index3", "v2"))
     holder = pick("h", "your_token_here1", "xxxxxxxxxxxx1234", "example_key_12345", "changeme12345678", "dummy-secret-001", "test_token_123456", "placeholder_0001", "1234567890123456")
-    k = F.col("id") % 16
+    letters = F.translate(F.substring(base64, 1, 20), "0123456789+/=", "gHjKmNpQrSxYz")
+    phrase = F.concat(pick("s1", "Tr0ub4dor", "P@ssw0rd", "hunter", "S3cure", "qwErty", "let.me.in"), pick("s2", "!", "#", "$", "@", "_"), F.substring(d("s3"), 1, 5), pick("s4", "!", "?", "%", "&", "X"))
+    spoken = F.concat(pick("v1", "required", "changed", "something", "expired", "between", "unknown", "whatever", "encrypted", "disabled"), pick("v2", "", ".", ",", "er", "ly", "ing"))
+    k = F.col("id") % 20
     cases = [
         (0, F.substring(long, 1, 40), key, 1), (1, F.substring(long, 1, 32), key, 1), (2, F.substring(base64, 1, 40), key, 1),
         (3, F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(long, 1, 16), "01", "QZ"))), F.concat(lead, pick("aws", "aws ", "key ", "id = \"", "")), 1),
@@ -98,6 +111,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 11) ->
         (8, F.substring(long, 1, 40), plain, 0), (9, F.regexp_replace(F.substring(long, 1, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), plain, 0),
         (10, words, F.concat(lead, pick("any", "name = ", "", "table ", "key: ", "token = ")), 0), (11, number, prose, 0), (12, path, F.concat(lead, F.lit("https://host.example/")), 0),
         (13, holder, key, 0), (14, F.concat(F.lit("20"), F.translate(F.substring(d("t"), 1, 2), "abcdef", "012345"), F.lit("-01-12T10")), prose, 0), (15, long, plain, 0),
+        (16, letters, key, 1), (17, phrase, key, 1), (18, spoken, F.concat(lead, name, pick("colon", ": ", " = ", "=", ": ")), 0), (19, spoken, F.concat(lead, pick("ask", "the password: ", "your token: ", "a secret: ", "Secret: ")), 0),
     ]
     choose = lambda at: F.coalesce(*[F.when(k == i, F.lit(c[at]) if at == 3 else c[at]) for i, *c in [(x[0], None, *x[1:]) for x in cases]])
     return spark.range(0, n, 1, 1).select(choose(1).alias("candidate"), choose(2).alias("before"), pick("path", "src/main", "config/app", "src0", "src7", "tests/unit", "docs/readme").alias("path"), choose(3).cast("double").alias("label"))
@@ -109,17 +123,33 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 7) -
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(rows)
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), where the value is made once though it is used in a lambda."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _starts(hits: Column, gaps: Column) -> Column:
+    """Where each hit starts: after i + 1 gaps and i hits. Sums of runs of hits first, then within runs."""
+    n = F.size(hits)
+    step = F.transform(hits, lambda h, i: (F.length(h) + F.length(F.get(gaps, i))).cast("bigint"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
+    runs = lambda s: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int")), lambda r: total(F.slice(s, r * RUN + 1, F.lit(RUN))))
+    before = lambda t: F.aggregate(t, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    at = lambda s, b: F.transform(hits, lambda _, i: F.get(b, F.floor(i / RUN).cast("int")) + total(F.slice(s, F.floor(i / RUN).cast("int") * RUN + 1, i % RUN)) + F.length(F.get(gaps, i)))
+    return _let(step, lambda s: _let(runs(s), lambda t: _let(before(t), lambda b: at(s, b))))
+
+
 def candidates(docs: DataFrame, keep: list[str], path: str = "source") -> DataFrame:
     """A row per candidate: ``keep``, number, start (code points), candidate, before, path."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*keep, F.col(path).cast("string").alias("path"), text.alias("_text")).filter(F.col("_text").rlike("[0-9]"))
+    rows = docs.select(*keep, F.col(path).cast("string").alias("path"), text.alias("_text")).filter(F.col("_text").rlike(HINT))
     rows = rows.select(*keep, "path", F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)).alias("_hits"), F.split("_text", CANDIDATE, -1).alias("_gaps")).filter(F.size("_hits") > 0)
-    # The i-th hit starts after i + 1 gaps and i hits: one running sum.
-    sizes = F.transform(F.sequence(F.lit(0), F.size("_hits") - 1), lambda i: F.struct(F.length(F.get("_gaps", i)).alias("gap"), F.length(F.get("_hits", i)).alias("hit")))
-    starts = F.aggregate(sizes, F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("bigint").alias("end")), lambda acc, x: F.struct(F.concat(acc["at"], F.array(acc["end"] + x["gap"])).alias("at"), (acc["end"] + x["gap"] + x["hit"]).alias("end")))["at"]
-    hit = F.transform(F.arrays_zip("_hits", starts.alias("_at"), F.transform(F.slice("_gaps", F.lit(1), F.size("_hits")), lambda g: F.substring(g, -CONTEXT, CONTEXT)).alias("_before")), lambda x: x)
-    out = rows.select(*keep, "path", F.posexplode(hit).alias("number", "_x"))
-    return out.select(*keep, "number", F.col("_x._at").alias("start"), F.col("_x._hits").alias("candidate"), F.col("_x._before").alias("before"), "path")
+    last = lambda c: F.substring(c, -CONTEXT, CONTEXT)
+    none = F.lit("")
+    before = lambda h, g: F.transform(h, lambda _, i: last(F.concat(F.when(i > 0, F.concat(last(F.get(g, i - 1)), F.get(h, i - 1))).otherwise(none), F.get(g, i))))
+    made = _let(F.col("_hits"), lambda h: _let(F.col("_gaps"), lambda g: F.arrays_zip(h.alias("hit"), _starts(h, g).alias("at"), before(h, g).alias("before"))))
+    out = rows.select(*keep, "path", F.posexplode(made).alias("number", "_x"))
+    return out.select(*keep, "number", F.col("_x.at").alias("start"), F.col("_x.hit").alias("candidate"), F.col("_x.before").alias("before"), "path")
 
 
 def judge(found: DataFrame, model: RandomForestClassificationModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -138,12 +168,13 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source
 def redact(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", by: str = "<secret>") -> DataFrame:
     """docs with each confirmed secret in ``text`` replaced; ``n_chars``, if there, follows. Same columns.
 
-    Rows are matched by id and text hash. The texts are not shuffled while rows with secrets are ``SMALL`` or fewer."""
+    Rows are matched by id and text hash. The texts are not shuffled while what was found takes ``SMALL`` bytes or fewer."""
     model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
     key = F.xxhash64(F.col("doc_id").cast("string"), "text", path)
     found = judge(candidates(docs.select(key.alias("__id"), "text", path), ["__id"], path), model).filter("is_secret")
     by_row = cut(found.groupBy("__id").agg(F.collect_set("candidate").alias("__secrets")))
-    if by_row.count() <= SMALL:
+    held = by_row.agg(F.sum(F.expr("48 + aggregate(__secrets, 0L, (n, s) -> n + octet_length(s) + 24)")).alias("b")).first()["b"] or 0
+    if held <= SMALL:
         by_row = F.broadcast(by_row)
     out = docs.withColumn("__id", key).join(by_row, "__id", "left")
     clean = F.aggregate(F.array_sort("__secrets", lambda a, b: F.length(b) - F.length(a)), F.col("text"), lambda t, s: F.replace(t, s, F.lit(by)))
