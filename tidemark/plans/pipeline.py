@@ -21,7 +21,8 @@ from tidemark.operators import baseline as base
 from tidemark.operators import catalog, merge, neighbourhood, tiles, vectorise
 from tidemark.operators.detect import Detector, Otsu, ZScore
 from tidemark.sources.base import SceneSource
-from tidemark.sources.store import Store
+from tidemark.sources.reader import DEM_LEVEL, SCENE_LEVEL, SceneReader, grids
+from tidemark.sources.store import Store, parse_config, read_areas
 
 DETECTORS: dict[str, Callable[[], Detector]] = {"zscore": ZScore, "otsu": Otsu}
 
@@ -46,6 +47,8 @@ class Config:
     smooth: bool = False
     smooth_size: int = 3
     polygons: bool = False
+    scene_level: int | None = SCENE_LEVEL
+    dem_level: int | None = DEM_LEVEL
 
     @classmethod
     def of(cls, settings: dict) -> Config:
@@ -69,9 +72,15 @@ class Config:
     def tag(self) -> str:
         return season_tag(self.dry_years, list(self.wet))
 
+    @property
+    def dry_tag(self) -> str:
+        """Names what a baseline is fitted on and how: dry years, detector, cell. Another setting is another baseline."""
+        return f"DRY_{'_'.join(map(str, sorted(set(self.years))))}_{self.detector}_{self.cell:g}"
+
 
 class FloodRun:
-    """Stages of one run. ``read`` turns (scenes, areas) into observations on the pixel grid; it is only called for what is not stored."""
+    """Stages of one run. ``read`` turns (scenes, areas) into observations on the pixel grid; it is only called for what is not stored.
+    Where a source is given and no ``read``, a ``SceneReader`` reads its files, and terrain too."""
 
     def __init__(self, spark: SparkSession, config: Config, areas: DataFrame | None = None, source: SceneSource | None = None, read: Callable[[DataFrame, DataFrame], DataFrame] | None = None, detector: Detector | None = None) -> None:
         if config.detector not in DETECTORS and detector is None:
@@ -85,6 +94,8 @@ class FloodRun:
             areas = areas.withColumn("_b", geo.ring_bounds(F.col("ring"))).select("*", "_b.*").drop("_b")
         if config.aoi_ids is not None:
             areas = areas.filter(F.col("aoi_id").isin(list(config.aoi_ids)))
+        if read is None and source is not None:
+            read = SceneReader(spark, source, config.cell, config.scene_level, config.dem_level)
         self.spark, self.config, self.areas, self.source, self.read = spark, config, areas, source, read
         self.detector = detector or DETECTORS[config.detector]()
         self.store = Store(spark, config.root)
@@ -98,7 +109,7 @@ class FloodRun:
 
     def dry_ranges(self) -> DataFrame:
         """year, first, last over the areas whose baseline is missing; no rows if none is."""
-        rest = self.open_areas("baseline")
+        rest = self.open_areas("baseline", self.config.dry_tag)
         unset = rest.filter(F.col("dry_month") == DRY_MONTH_PLACEHOLDER).limit(1).count()
         if unset:
             raise ValueError("dry_month of some areas is still a placeholder")
@@ -128,7 +139,7 @@ class FloodRun:
     def prepare_baseline(self) -> None:
         if not self.detector.requires_baseline:
             return
-        rest = self.open_areas("baseline")
+        rest = self.open_areas("baseline", self.config.dry_tag)
         ranges = self.dry_ranges().collect()  # a row per year
         if not ranges:
             return
@@ -139,12 +150,26 @@ class FloodRun:
         for s in span[1:]:
             dry = dry | s
         obs = self.store.read("obs").filter(dry).join(rest.select("aoi_id"), "aoi_id", "left_semi")
-        self.store.write("baseline", self.detector.fit(obs), ("px_row", "px_col"))
-
-    def prepare_slope(self, dem: DataFrame) -> None:
-        """``dem``: aoi_id, px_row, px_col, elev, with rows and columns also in the margin around the tile, if there is one."""
-        own = dem.join(self.open_areas("slope").select("aoi_id"), "aoi_id", "left_semi").withColumn("elev", F.coalesce("elev", F.lit(0.0)))
-        self.store.write("slope", neighbourhood.slope(own, self.config.cell), ("px_row", "px_col"))
+        self.store.write("baseline", self.detector.fit(obs).withColumn("tag", F.lit(self.config.dry_tag)), ("px_row", "px_col"))
+
+    def baseline(self) -> DataFrame:
+        """Stored baselines of these dry years, this detector and cell."""
+        return self.store.read("baseline").filter(F.col("tag") == self.config.dry_tag).drop("tag")
+
+    def prepare_slope(self, dem: DataFrame | None = None) -> None:
+        """``dem``: aoi_id, px_row, px_col, elev, with rows and columns also in the margin around the tile, if there is one. Without it
+        terrain is searched for and read, and the slopes of the margin are left out."""
+        rest = self.open_areas("slope")
+        if dem is None:
+            if rest.isEmpty():
+                return
+            dem = self.read.terrain(rest, SLOPE_BUFFER_M)
+        own = dem.join(rest.select("aoi_id"), "aoi_id", "left_semi").withColumn("elev", F.coalesce("elev", F.lit(0.0)))
+        slopes = neighbourhood.slope(own, self.config.cell)
+        if isinstance(self.read, SceneReader):
+            size = grids(rest, self.config.cell).select("aoi_id", "n_rows", "n_cols")
+            slopes = slopes.join(size, "aoi_id").filter("px_row between 0 and n_rows - 1 and px_col between 0 and n_cols - 1").drop("n_rows", "n_cols")
+        self.store.write("slope", slopes, ("px_row", "px_col"))
 
     @property
     def dem_margin(self) -> int:
@@ -172,7 +197,7 @@ class FloodRun:
         detector = self.detector
         if isinstance(detector, ZScore):
             detector = ZScore(c.vv_thd if vv_thd is None else vv_thd, c.vh_thd if vh_thd is None else vh_thd, detector.gap_aware)
-        stored = self.store.read("baseline") if detector.requires_baseline else None
+        stored = self.baseline() if detector.requires_baseline else None
         out = detector.detect(self.wet_observations(), stored).drop("vv", "vh")
         if detector.requires_slope_mask:
             out = merge.mask_slopes(out, self.store.read("slope"), c.slope_thd if slope_thd is None else slope_thd)
@@ -198,8 +223,21 @@ class FloodRun:
         self.areas = self.open_areas("months", self.config.tag)
         if not self.areas.isEmpty():
             self.prepare_baseline()
-            if dem is not None and self.detector.requires_slope_mask:
+            if self.detector.requires_slope_mask and (dem is not None or isinstance(self.read, SceneReader)):
                 self.prepare_slope(dem)
             self.prepare_wet()
             self.finish(self.map_floods())
         return self.store.read("months").filter(F.col("tag") == self.config.tag)
+
+
+def run_one_aoi(spark: SparkSession, settings: dict | str, aoi_id: int, source: SceneSource | None = None, areas: DataFrame | None = None, dem: DataFrame | None = None) -> DataFrame:
+    """The whole run for one area, as a batch job calls it: ``settings`` are those of a configuration file, or its text. The months of the area.
+
+    Areas come from ``areas``, from the file that the setting ``grid`` names, or are made over the setting ``area``."""
+    s = dict(parse_config(settings) if isinstance(settings, str) else settings)
+    grid = s.pop("grid", None)
+    if areas is None and grid is not None:
+        areas = read_areas(spark, grid)
+    config = Config.of(s | {"aoi_ids": [aoi_id]})
+    run = FloodRun(spark, config, areas, source)
+    return run.run(dem).filter(F.col("aoi_id") == aoi_id)

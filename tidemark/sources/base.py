@@ -33,10 +33,17 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def bare(href: str) -> str:
+    """A link without its signature."""
+    return href.split("?", 1)[0]
+
+
 class SceneSource(ABC):
     """A connector: searches a catalog, names the assets of a scene, opens them."""
 
     dem_collection, dem_asset = "nasadem", "elevation"
+    #: Whether a scene may be several rasters.
+    several = False
 
     @abstractmethod
     def search(self, box: Box, start: str, end: str) -> DataFrame:
@@ -46,6 +53,11 @@ class SceneSource(ABC):
     def hrefs(self) -> tuple[Column, Column]:
         """Columns with the places of a scene's VV and VH rasters."""
 
+    def rasters(self, scenes: DataFrame) -> DataFrame:
+        """scene_id, obs_date, part (order among the scene's rasters), vv, vh (their places)."""
+        vv, vh = self.hrefs()
+        return scenes.select("scene_id", F.col("acquired").cast("date").alias("obs_date"), F.lit("").alias("part"), vv.alias("vv"), vh.alias("vh"))
+
     @abstractmethod
     def search_dem(self, box: Box) -> DataFrame:
         """Terrain items that meet the box."""
@@ -53,9 +65,12 @@ class SceneSource(ABC):
     def dem_href(self) -> Column:
         return F.try_element_at("assets", F.lit(self.dem_asset))
 
+    def signing(self) -> Callable[[str], str]:
+        """A function that makes a link which may be opened now, and that can travel to workers. An old signature is dropped before a new one is made."""
+        return bare
+
     def sign(self, href: str) -> str:
-        """A link that may be opened now. An old signature is dropped before a new one is made."""
-        return href.split("?", 1)[0]
+        return self.signing()(href)
 
 
 class SceneCatalog(SceneSource):
@@ -75,14 +90,16 @@ class SceneCatalog(SceneSource):
         m = DEM_MARGIN_DEG
         return ops.search(self.dem, self.dem_collection, (box[0] - m, box[1] - m, box[2] + m, box[3] + m), assets=(self.dem_asset,))
 
-    def sign(self, href: str) -> str:
-        bare = super().sign(href)
-        return self.signer(bare) if self.signer else bare
+    def signing(self) -> Callable[[str], str]:
+        signer = self.signer
+        return (lambda href: signer(bare(href))) if signer else bare
 
 
 class BurstCatalog(SceneCatalog):
     """Scenes that are passes of many bursts, each of which may have been processed again."""
 
+    several = True
+
     def __init__(self, catalog: DataFrame, collection: str = "OPERA_L2_RTC-S1_V1", vv: str = "0_VV", vh: str = "0_VH", dem: DataFrame | None = None) -> None:
         super().__init__(catalog, collection, vv, vh, dem)
 
@@ -93,6 +110,13 @@ class BurstCatalog(SceneCatalog):
     def search(self, box: Box, start: str, end: str) -> DataFrame:
         return ops.passes(self.bursts(box, start, end))
 
+    def rasters(self, scenes: DataFrame) -> DataFrame:
+        """A row per burst of each pass, in the order of its ids."""
+        vv, vh = super().hrefs()
+        places = self.catalog.filter(F.col("collection") == self.collection).select(F.col("scene_id").alias("part"), vv.alias("vv"), vh.alias("vh"))
+        bursts = scenes.select("scene_id", F.to_date("acq", "yyyyMMdd").alias("obs_date"), F.explode("bursts").alias("part"))
+        return bursts.join(places, "part").select("scene_id", "obs_date", "part", "vv", "vh")
+
     def hrefs(self) -> tuple[Column, Column]:
         raise NotImplementedError("a pass is many rasters; read its bursts and mosaic them")
 

@@ -12,7 +12,7 @@ from tidemark.functions import geo
 
 #: Table -> what its files are partitioned by.
 LAYOUT = {
-    "areas": [], "pairs": ["aoi_id"], "obs": ["aoi_id", "scene_id"], "baseline": ["aoi_id"], "dem": ["aoi_id"], "slope": ["aoi_id"],
+    "areas": [], "pairs": ["aoi_id"], "obs": ["aoi_id", "scene_id"], "baseline": ["tag", "aoi_id"], "dem": ["aoi_id"], "slope": ["aoi_id"],
     "classes": ["tag", "aoi_id"], "dates": ["tag", "aoi_id"], "months": ["tag", "aoi_id"], "valid": ["tag", "aoi_id"], "polygons": ["tag", "aoi_id"],
 }
 #: Types of partition columns, which folder names do not tell.
