@@ -118,15 +118,18 @@ def otsu_thresholds(obs: DataFrame, scene=SCENE) -> DataFrame:
     scene = list(scene)
     bands = list(base.BANDS)
     ends = obs.groupBy(*scene).agg(*[f(b).alias(f"{b}_{name}") for b in bands for f, name in ((F.count, "n"), (F.min, "low"), (F.max, "high"))])
-    binned = obs.join(ends, scene).select(*scene, F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("x"), F.col(f"{b}_low").alias("low"), F.col(f"{b}_high").alias("high")) for b in bands])).alias("s"))
-    valid = binned.filter(F.col("s.x").isNotNull() & (F.col("s.high") > F.col("s.low")))
-    kinds = F.explode(F.array(F.struct(F.lit("fine").alias("kind"), _bin(F.col("s.x"), F.col("s.low"), F.col("s.high"), OTSU_BINS).alias("bin")), F.struct(F.lit("coarse").alias("kind"), _bin(F.col("s.x"), F.col("s.low"), F.col("s.high"), PEAK_BINS).alias("bin"))))
-    counted = valid.select(*scene, F.col("s.band").alias("band"), kinds.alias("k")).groupBy(*scene, "band", "k.kind", "k.bin").agg(F.count("*").alias("n"))
-    tables = counted.groupBy(*scene, "band", "kind").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("hist"))
-    coarse = F.col("kind") == "coarse"
-    # As columns of their own the counts are made once and not for each use.
-    dense = tables.select(*scene, "band", "kind", _dense(F.when(coarse, PEAK_BINS).otherwise(OTSU_BINS)).alias("counts"))
-    verdict = dense.select(*scene, "band", F.when(coarse, is_bimodal(F.col("counts"))).alias("two"), F.when(~coarse, otsu_split(F.col("counts"))).alias("at"))
+    # One count of pairs of bins for both bands, without a row more per pixel; a scene has 2^16 pairs at most.
+    bin_of = lambda b: F.when(F.col(b).isNotNull() & (F.col(f"{b}_high") > F.col(f"{b}_low")), _bin(F.col(b), F.col(f"{b}_low"), F.col(f"{b}_high"), OTSU_BINS)).alias(f"{b}_bin")
+    pairs = obs.join(ends, scene).select(*scene, *map(bin_of, bands)).groupBy(*scene, *[f"{b}_bin" for b in bands]).agg(F.count("*").alias("n"))
+    sides = pairs.select(*scene, "n", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"{b}_bin").alias("bin")) for b in bands])).alias("s")).filter("s.bin is not null")
+    counted = sides.groupBy(*scene, "s.band", "s.bin").agg(F.sum("n").alias("n"))
+    tables = counted.groupBy(*scene, "band").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("hist"))
+    # As columns of their own the counts are made once and not for each use. A coarse bin is so many fine ones.
+    dense = tables.select(*scene, "band", _dense(F.lit(OTSU_BINS)).alias("fine"))
+    width = OTSU_BINS // PEAK_BINS
+    coarse = F.transform(F.sequence(F.lit(0), F.lit(PEAK_BINS - 1)), lambda i: F.aggregate(F.slice("fine", i * width + 1, F.lit(width)), F.lit(0).cast("long"), lambda x, y: x + y))
+    dense = dense.select(*scene, "band", "fine", coarse.alias("coarse"))
+    verdict = dense.select(*scene, "band", is_bimodal(F.col("coarse")).alias("two"), otsu_split(F.col("fine")).alias("at"))
     per = verdict.groupBy(*scene).agg(*[F.max(F.when(F.col("band") == b, F.col(c))).alias(f"{b}_{c}") for b in bands for c in ("two", "at")])
     out = ends.join(per, scene, "left")
     for b in bands:

@@ -55,17 +55,18 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.filter("rows_a > 0 and rows_b > 0").drop("rows_a", "rows_b")
 
 
-def clip_limits(obs: DataFrame, columns: list[str], keys: list[str], low: float = 0.02, high: float = 0.98, exact: bool = True) -> DataFrame:
+def clip_limits(obs: DataFrame, columns: list[str], keys: list[str], low: float = 0.02, high: float = 0.98, exact: bool = False) -> DataFrame:
     """``<column>_low`` and ``_high``: interpolated percentiles of the values there are, 0 and 1 if there is none.
 
-    ``exact`` keeps a count of each distinct value of a group; for groups of very many, the approximate one is bounded."""
+    Percentiles are of rank within 1 in 10000, from a bounded summary; ``exact`` interpolates, and keeps a count of each distinct
+    value of a group, so it is for groups of few values."""
     f = (lambda c: F.percentile(c, F.array(F.lit(low), F.lit(high)))) if exact else (lambda c: F.percentile_approx(c, [low, high], 10000))
     out = obs.groupBy(*keys).agg(*[f(F.col(c)).alias(c) for c in columns])
     at = lambda c, i, d: F.coalesce(F.get(F.col(c), F.lit(i)).cast("double"), F.lit(d))
     return out.select(*keys, *[x for c in columns for x in (at(c, 0, 0.0).alias(f"{c}_low"), at(c, 1, 1.0).alias(f"{c}_high"))])
 
 
-def composite(obs: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
+def composite(obs: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
     """red, green, blue from vv, vh and vv - vh in decibels, each stretched between its 2nd and 98th percentile of a scene."""
     c = obs.withColumns({"red": F.col("vv"), "green": F.col("vh"), "blue": F.col("vv") - F.col("vh")})
     bands = ["red", "green", "blue"]

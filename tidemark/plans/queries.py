@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from tidemark.operators import blocks, catalog, duration, merge, neighbourhood,
 from tidemark.operators.detect import Otsu, ZScore, otsu_thresholds
 from tidemark.plans import views
 from tidemark.plans.oracle import PX, low, using
+from tidemark.sources.store import shared_folder
 from tidemark.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,7 +243,7 @@ _COLOUR = "(CASE WHEN {0}_h > {0}_l THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE
 @query(using(f"""SELECT {PX}, scene_id, {', '.join(f'CASE WHEN {c} IS NOT NULL THEN ' + s6(_COLOUR.format(c)) + f' END AS {c}' for c in ('red', 'green', 'blue'))} FROM
 (SELECT *, vv AS red, vh AS green, vv - vh AS blue FROM monthly_scenes) JOIN (SELECT aoi_id, scene_id, {', '.join(f'coalesce(quantile_cont({e}, {q}), {d}) AS {c}_{k}' for c, e in (('red', 'vv'), ('green', 'vh'), ('blue', 'vv - vh')) for k, q, d in (('l', 0.02, 0), ('h', 0.98, 1)))} FROM monthly_scenes GROUP BY aoi_id, scene_id) USING (aoi_id, scene_id)""", "monthly_scenes"))
 def colour_composite(spark: SparkSession, sf: str) -> DataFrame:
-    c = summaries.composite(monthly_scenes(spark, sf), ["aoi_id", "scene_id"])
+    c = summaries.composite(monthly_scenes(spark, sf), ["aoi_id", "scene_id"], exact=True)
     return c.select(*base.PIXEL, "scene_id", *[r6(k).alias(k) for k in ("red", "green", "blue")])
 
 
@@ -249,7 +251,7 @@ def colour_composite(spark: SparkSession, sf: str) -> DataFrame:
 (SELECT aoi_id, quantile_cont(x, 0.02) AS x_l, quantile_cont(x, 0.98) AS x_h FROM (SELECT aoi_id, CASE WHEN vh_mean = 0 THEN 0 ELSE vv_mean / vh_mean END AS x FROM base) GROUP BY aoi_id) USING (aoi_id) WHERE x IS NOT NULL""", "base"))
 def band_ratio_stretch(spark: SparkSession, sf: str) -> DataFrame:
     b = base.fit(dry(spark, sf)).withColumn("x", radiometry.ratio(F.col("vv_mean"), F.col("vh_mean"))).filter("x is not null")
-    j = b.join(summaries.clip_limits(b, ["x"], ["aoi_id"]), "aoi_id")
+    j = b.join(summaries.clip_limits(b, ["x"], ["aoi_id"], exact=True), "aoi_id")
     return j.select(*base.PIXEL, r6(radiometry.stretched(F.col("x"), F.col("x_low"), F.col("x_high"))).alias("ratio"))
 
 
@@ -366,6 +368,27 @@ def regrid_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("scene_id", *base.PIXEL, r6("vv").alias("vv"), r6("vh").alias("vh"))
 
 
+#: A grid in zone 45 over a source in zone 46: the source's upper left corner, and metres of a source cell.
+_AT_X, _AT_Y, _CELL = 700_000.0, 2_766_000.0, 25.0
+_CORNER = geo.evaluate(geo.utm_inverse("x", "y", "zone", "south"), 45, False, x=np.array([_AT_X]), y=np.array([_AT_Y]))
+_CORNER = geo.evaluate(geo.utm_forward("lon", "lat", "zone", "south"), 46, False, lon=_CORNER["lon"], lat=_CORNER["lat"])
+_X0, _Y0 = float(np.floor(_CORNER["easting"][0])) - 40.0, float(np.floor(_CORNER["northing"][0])) + 30.0
+_LONLAT = geo.nested(f"(SELECT aoi_id, r::INT AS px_row, c::INT AS px_col, {_AT_X}::DOUBLE + c * 30.0::DOUBLE AS x, {_AT_Y}::DOUBLE - r * 30.0::DOUBLE AS y FROM (SELECT DISTINCT aoi_id FROM obs) CROSS JOIN range(12) a(r) CROSS JOIN range(12) b(c))", geo.utm_inverse("x", "y", "45", "false"))
+_PLACED = geo.nested(f"(SELECT aoi_id, px_row, px_col, lon, lat FROM {_LONLAT})", geo.utm_forward("lon", "lat", "46", "false"))
+_PROJECTED = f"t AS (SELECT aoi_id, px_row, px_col, greatest(0.0::DOUBLE, least(15.0::DOUBLE, (easting - {_X0}::DOUBLE) / {_CELL}::DOUBLE - 0.5)) AS fx, greatest(0.0::DOUBLE, least(15.0::DOUBLE, ({_Y0}::DOUBLE - northing) / {_CELL}::DOUBLE - 0.5)) AS fy FROM {_PLACED})"
+
+
+@query(ORACLE["regrid_bilinear"].replace(_TARGET, _PROJECTED))
+def regrid_across_zones(spark: SparkSession, sf: str) -> DataFrame:
+    """A grid in one zone on a source in the next: inverse and forward projection of every pixel, then the join."""
+    p = _targets(spark, sf).withColumns({"x": F.col("px_col") * 30.0 + _AT_X, "y": F.lit(_AT_Y) - F.col("px_row") * 30.0})
+    p = geo.apply(geo.apply(p, geo.utm_inverse("x", "y", "45", "false")), geo.utm_forward("lon", "lat", "46", "false"))
+    w = regrid.weights(p, (F.col("easting") - _X0) / _CELL - 0.5, (F.lit(_Y0) - F.col("northing")) / _CELL - 0.5, 16, 16)
+    source = monthly_scenes(spark, sf).withColumnsRenamed({"px_row": "src_row", "px_col": "src_col"})
+    out = regrid.regrid(source, w, lattice=("aoi_id", "src_row", "src_col"))
+    return out.select("scene_id", *base.PIXEL, r6("vv").alias("vv"), r6("vh").alias("vh"))
+
+
 @query(using(f"SELECT scene_id, aoi_id, t.px_row, t.px_col, {s6('vv')} AS vv, {s6('vh')} AS vh FROM t JOIN (SELECT aoi_id AS a, scene_id, px_row AS r, px_col AS c, vv, vh FROM monthly_scenes) s ON a = aoi_id AND r = floor(fy + 0.5)::INT AND c = floor(fx + 0.5)::INT", "obs", "monthly_scenes", recursive=_TARGET))
 def regrid_nearest(spark: SparkSession, sf: str) -> DataFrame:
     w = regrid.weights(_targets(spark, sf), F.col("px_col") * 1.37 - 0.6, F.col("px_row") * 1.21 + 0.3, 16, 16, "nearest")
@@ -634,11 +657,7 @@ def scene_footprints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder in the shared checkpoint place of the cluster; one of our own only where none is set."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tidemark")
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf: str, of: tuple) -> DataFrame:
@@ -664,9 +683,8 @@ def _list(spark: SparkSession, folder: str) -> list:
 
 def _kept(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     folder = _scratch(spark)
-    how = "append" if mode == "append" else "overwrite"
-    incremental.run_to_end(stream, lambda batch, _: batch.write.mode(how).parquet(f"{folder}/out"), f"{folder}/checkpoint", mode)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    incremental.run_to_end(stream, incremental.store_into(f"{folder}/out", mode), f"{folder}/checkpoint", mode)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/*")
 
 
 @query(ORACLE["zscore_classes"])
@@ -685,7 +703,7 @@ def stream_flood_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(using("SELECT burst, taken, arg_max(scene_id, processed) AS scene_id FROM items GROUP BY burst, taken", "items"))
 def stream_newest_granules(spark: SparkSession, sf: str) -> DataFrame:
-    c = incremental.newest_granules(_stream(spark, sf, views.CATALOG)).drop("processed")
+    c = incremental.newest_granules(_stream(spark, sf, views.CATALOG))
     return _kept(spark, c, "complete")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,19 @@ BAND_ROWS = 1024
 RESULTS = ("areas", "baseline", "slope", "dates", "months", "valid", "polygons")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Where none is set a folder is chosen on one machine, as in tests; a cluster must name one."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if sc.master.split("[")[0] != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 class Store:
     """Parquet tables under ``root``. Writing replaces the partitions that the rows are in and no others, so a step that
     is run again, or whose executors were lost, leaves the same files."""

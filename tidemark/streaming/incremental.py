@@ -51,11 +51,11 @@ def monthly(dates: DataFrame) -> DataFrame:
 
 
 def newest_granules(items: DataFrame) -> DataFrame:
-    """Update mode: the greatest processing stamp of each granule so far."""
+    """Update mode: the greatest processing stamp of each granule so far; of equals the greatest id, as a stream knows no order of arrival."""
     parts = F.split("scene_id", "_")
     many = F.size(parts) > 4
     i = items.select(F.when(many, F.get(parts, F.lit(3))).otherwise(F.col("scene_id")).alias("burst"), F.when(many, F.get(parts, F.lit(4))).otherwise(F.lit("")).alias("taken"), F.coalesce(F.get(parts, F.lit(5)), F.lit("")).alias("processed"), "scene_id")
-    return i.groupBy("burst", "taken").agg(F.max_by("scene_id", "processed").alias("scene_id"))
+    return i.groupBy("burst", "taken").agg(F.max(F.struct("processed", "scene_id")).alias("last")).select("burst", "taken", "last.scene_id")
 
 
 def event_counts(events: DataFrame, width: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -92,3 +92,14 @@ def fold_into(path: str, spark: SparkSession) -> Callable[[DataFrame, int], None
         old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
+
+
+def store_into(path: str, mode: str = "append") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer: a folder for each batch (``<path>/*``), or one for the last where each batch is the whole result.
+
+    A batch that is run again after a failure replaces its own folder, so no row is stored twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number if mode == 'append' else 'last'}")
+
+    return write
