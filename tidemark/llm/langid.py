@@ -4,12 +4,14 @@ Each language is a distribution over hashed character n-grams (one to four lette
 is a mixture: expectation-maximisation estimates the languages' proportions from n-gram likelihoods. The
 language set is chosen by penalised likelihood: sets grow in order of proportion while the gain in log
 likelihood exceeds ``PENALTY`` * log(number of n-grams) per language. The predicted language is the one of largest
-proportion, the score that proportion.
+proportion, the score that proportion. ``gain`` is by how many nats an n-gram is likelier, on average, under the mixture
+than if all buckets were equally likely: about 0 or less where no learnt language explains the text.
 
 The model is fitted on labelled rows outside the held-out fold, ``PER_LANGUAGE`` per language in expectation, drawn by a
 hash of the id; its size is languages x buckets. Null texts and texts without a letter are ``und`` with
 score 0, as is everything if no row is labelled. Equal proportions go to the smaller name. Repeated rows
-and ids are rows of their own; other columns are ignored.
+and ids are rows of their own; an empty table gives an empty result; very long texts are counted whole, in memory
+linear in the text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,6 +96,14 @@ def _mixture(like: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tupl
     return share, float(weight @ np.log(like @ share))
 
 
+def gain(grams: np.ndarray, model: np.ndarray, found: list[tuple[int, float]]) -> float:
+    """Mean log of how much likelier the n-grams are under a mixture than spread evenly."""
+    bucket, weight = np.unique(grams, return_counts=True)
+    at, share = [k for k, _ in found], np.array([p for _, p in found])
+    like = np.exp(model[at][:, bucket].astype(np.float64)).T @ share
+    return float(weight @ np.log(like * model.shape[1] + 1e-12) / weight.sum())
+
+
 def infer(grams: np.ndarray, model: np.ndarray) -> list[tuple[int, float]]:
     """(language, proportion) of the chosen set, largest first."""
     bucket, weight = np.unique(grams, return_counts=True)
@@ -114,29 +124,30 @@ def infer(grams: np.ndarray, model: np.ndarray) -> list[tuple[int, float]]:
 
 
 def predict(docs: DataFrame, names: list[str], model: np.ndarray, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
-    """Columns ``keep`` (doc_id by default), then lang_pred, score, mixture (``name:proportion``, largest first), each with ``prefix``."""
+    """Columns ``keep`` (doc_id by default), then lang_pred, score, mixture (``name:proportion``, largest first), gain, each with ``prefix``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets, however many rows there are
 
     def make():
         words, own = re.compile(r"[^\W\d_]+"), shared.value
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            preds, scores, mixtures = [], [], []
+            preds, scores, mixtures, gains = [], [], [], []
             for text in texts:
                 text = text.as_py()
                 grams = ngrams(text, words) if text and names else ()
                 if not len(grams):
-                    preds.append("und"), scores.append(0.0), mixtures.append("")
+                    preds.append("und"), scores.append(0.0), mixtures.append(""), gains.append(0.0)
                     continue
                 found = infer(grams, own)
                 preds.append(names[found[0][0]])
                 scores.append(min(1.0, max(0.0, found[0][1])))
                 mixtures.append(",".join(f"{names[i]}:{p:.3f}" for i, p in found))
-            return [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(mixtures, pa.string())]
+                gains.append(gain(grams, own, found))
+            return [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(mixtures, pa.string()), pa.array(gains, pa.float64())]
 
         return work
 
-    return over_text(docs, make, f"{prefix}lang_pred string, {prefix}score double, {prefix}mixture string", keep or ["doc_id"])
+    return over_text(docs, make, f"{prefix}lang_pred string, {prefix}score double, {prefix}mixture string, {prefix}gain double", keep or ["doc_id"])
 
 
 def identify(docs: DataFrame) -> DataFrame:
