@@ -73,3 +73,28 @@ def test_run_is_the_stages_in_turn(spark, folders):
     out = corpus_pipeline.run(spark, folders["odd"])
     assert {"doc_id", "taken"} <= set(out.columns) and out.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontaminate", "secret_scan", "mix"]
+
+
+def test_language_stage_keeps_mixed_texts(spark, tmp_path):
+    """Three learnt languages in one text stay; a script that none of them has goes."""
+    import random
+
+    random.seed(2)
+    words = {"aa": ["baba", "kaba", "labaka", "makaba"], "bb": ["tirix", "sixit", "zitrix", "pix"], "cc": ["uolo", "ouel", "luoe", "oelou"]}
+    say = lambda lang, n: " ".join(random.choice(words[lang]) for _ in range(n))
+    rows = [(k, say(lang, 80), lang, "s", 1) for k, lang in enumerate(["aa", "bb", "cc"] * 15)]
+    rows += [(100, " ".join((say("aa", 80), say("bb", 70), say("cc", 60))), None, "s", 1), (101, "съешь ещё этих мягких французских булок да выпей чаю " * 5, None, "s", 1), (102, "1234 !!!", None, "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language"](spark, docs, str(tmp_path)).collect()}
+    assert kept == {r[0] for r in rows} - {101, 102}
+
+
+def test_run_leaves_one_table(spark, folders):
+    import pathlib
+
+    from tidemark.llm.textkernel import ensure_checkpoint_dir
+
+    root = pathlib.Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(root.glob("tables-*"))
+    corpus_pipeline.run(spark, folders["odd"])
+    assert len(set(root.glob("tables-*")) - before) == 1
