@@ -25,7 +25,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,59 +33,29 @@ from tidemark.llm.textkernel import Powers, PrefixHash, cut, held_out, mix, over
 PER_LABEL = 2000
 SUPPORT = 3
 NEIGHBOURS = 12
-BLOCK = 64
+BLOCK = 128
 PREFIXES = (4, 5, 6, 7)
 #: Shares of a document's words, as 1 / level, from which on a word or beginning counts as frequent.
 LEVELS = (256, 128, 64)
 #: One in so many groups of near copies is for calibration.
 CALIBRATE = 4
-#: Words whose terms a worker remembers.
-REMEMBERED = 200_000
 THRESHOLD = 0.7
 #: Word bytes: as elsewhere, and the apostrophe.
 _KEEP = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 or c == 39 else 32 for c in range(256))
-WORD, BEGINNING = 0, 1
-MASK = (1 << 64) - 1
 
 
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_KEEP).split()
 
 
-def stems_of(word: bytes) -> tuple[int, ...]:
-    """Numbers of a word and of its beginnings, which inflected and compound forms share."""
+def beginnings(word: bytes) -> list[bytes]:
+    """Inflected and compound forms share those."""
+    if len(word) < PREFIXES[0]:
+        return []
+    if word.isascii():
+        return [word[:n] for n in PREFIXES if len(word) >= n]
     w = word.decode(errors="replace")
-    return xxhash.xxh64_intdigest(word, WORD), *(xxhash.xxh64_intdigest(w[:n].encode(), BEGINNING) for n in PREFIXES if len(w) >= n)
-
-
-def frequent(stem, level: int):
-    """Number of "this stem makes up at least 1 / level of the words"; of one number or of an array."""
-    if isinstance(stem, np.ndarray):
-        return (stem ^ np.uint64(level * 0x9E3779B97F4A7C15 & MASK)) * np.uint64(0xD6E8FEB86659FD93)
-    return (stem ^ (level * 0x9E3779B97F4A7C15 & MASK)) * 0xD6E8FEB86659FD93 & MASK
-
-
-def terms_of(text: str, known: dict, stems: frozenset[int] | None = None) -> dict[int, int]:
-    """Numbers of a text's terms: words with their counts; beginnings, and what is frequent, with 0. Of the latter two only
-    those of ``stems``, if given. ``known`` remembers words."""
-    words = words_of(text)
-    out: dict[int, int] = {}
-    more: dict[int, int] = {}
-    for word, n in Counter(words).items():
-        own = known.get(word)
-        if own is None:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            every = stems_of(word)
-            own = known[word] = every[0], every if stems is None else tuple(s for s in every if s in stems)
-        out[own[0]] = n
-        for s in own[1]:
-            more[s] = more.get(s, 0) + n
-    for s, n in more.items():
-        out.setdefault(s, 0)
-        if n > 1 and n * LEVELS[0] >= len(words):
-            out.update((frequent(s, v), 0) for v in LEVELS if n * v >= len(words))
-    return out
+    return [w[:n].encode() for n in PREFIXES if len(w) >= n]
 
 
 def _copy_group(raw: bytes, powers: Powers) -> int:
@@ -102,51 +71,91 @@ def _copy_group(raw: bytes, powers: Powers) -> int:
     return int(mix(total).min().view(np.int64))
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start[0]..end[0]-1, start[1]..end[1]-1, and so on."""
+    n = end - start
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Examples:
-    """Labelled texts as rows of arrays; ``term``, ``count`` and ``row`` run together."""
+    """Labelled texts: the words of each with their counts, as runs of arrays. Terms are numbers: words first, then beginnings
+    (``names`` has both), then what is frequent. Those that are not words are made a few texts at a time, by ``terms``."""
 
     def __init__(self, rows: list[tuple[int, int, int, bytes, bytes]], rates: list[float]) -> None:
         rows = sorted(rows)
         self.doc, self.toxic, self.group = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        self.term = np.frombuffer(b"".join(r[3] for r in rows), np.uint64)
-        self.count = np.frombuffer(b"".join(r[4] for r in rows), np.int32)
-        self.row = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
         self.rate = np.array(rates)[self.toxic] if len(rows) else np.zeros(0)
+        words: dict[bytes, int] = {}
+        own = [np.array([words.setdefault(w, len(words)) for w in r[3].split()], np.int32) for r in rows]
+        self.start = np.concatenate([[0], np.cumsum([len(o) for o in own], dtype=np.int64)])
+        self.word, self.count = np.concatenate([*own, np.zeros(0, np.int32)]), np.frombuffer(b"".join(r[4] for r in rows), np.int32)
+        stems: dict[bytes, int] = {}
+        of = [np.array([stems.setdefault(b, len(words) + len(stems)) for b in beginnings(w)], np.int32) for w in words]
+        self.first = np.concatenate([[0], np.cumsum([len(o) for o in of], dtype=np.int64)])
+        self.stems = np.concatenate([*of, np.zeros(0, np.int32)])  # the beginnings of each word
+        self.words, self.names = len(words), [*words, *stems]
 
     def __len__(self) -> int:
         return len(self.doc)
 
+    @property
+    def size(self) -> int:
+        """Terms that there can be."""
+        return len(self.names) * (1 + len(LEVELS))
+
     def of(self, mask: np.ndarray) -> Examples:
-        out = Examples([], [])
-        new, keep = np.cumsum(mask) - 1, mask[self.row]
+        out = Examples.__new__(Examples)
+        vars(out).update(vars(self))
         out.doc, out.toxic, out.group, out.rate = (x[mask] for x in (self.doc, self.toxic, self.group, self.rate))
-        out.term, out.count, out.row = self.term[keep], self.count[keep], new[self.row[keep]]
+        at = np.flatnonzero(mask)
+        runs = _ranges(self.start[at], self.start[at + 1])
+        out.word, out.count, out.start = self.word[runs], self.count[runs], np.concatenate([[0], np.cumsum(self.start[at + 1] - self.start[at])])
         return out
 
-    def speakers(self) -> Examples:
-        """One of each group of near copies, that of the smallest id, toxic if any of them is."""
+    def terms(self, rows: int = 256):
+        """(row, term, count) of some texts at a time, by row; a count of 0 is that of a term which is not a word."""
+        names = len(self.names)
+        for i in range(0, len(self), rows):
+            j = min(i + rows, len(self))
+            word, count = (x[self.start[i] : self.start[j]].astype(np.int64) for x in (self.word, self.count))
+            row = np.repeat(np.arange(i, j), np.diff(self.start[i : j + 1]))
+            n = self.first[word + 1] - self.first[word]
+            key, at = np.unique(np.repeat(row, n) * max(names, 1) + self.stems[_ranges(self.first[word], self.first[word + 1])], return_inverse=True)
+            total = np.concatenate([count, np.bincount(at, np.repeat(count, n), len(key)).astype(np.int64)])
+            rows_, stem = np.concatenate([row, key // max(names, 1)]), np.concatenate([word, key % max(names, 1)])
+            length = np.bincount(row - i, count, j - i)[rows_ - i]
+            out = [(row, word, count), (rows_[len(row) :], stem[len(row) :], np.zeros(len(key), np.int64))]
+            for k, v in enumerate(LEVELS):
+                many = (total > 1) & (total * v >= length)
+                out.append((rows_[many], names + stem[many] * len(LEVELS) + k, np.zeros(many.sum(), np.int64)))
+            r, t, c = (np.concatenate(x) for x in zip(*out))
+            order = np.lexsort((t, r))
+            yield r[order], t[order], c[order]
+
+    def speakers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which speak for their group of near copies, those of the smallest id; and labels, toxic if any of the group is."""
         groups, first, at = np.unique(self.group, return_index=True, return_inverse=True)
         mask = np.zeros(len(self), bool)
         mask[first] = True
-        out = self.of(mask)
         toxic = np.zeros(len(groups), np.int64)
         np.maximum.at(toxic, at, self.toxic)
-        out.toxic = toxic[np.searchsorted(groups, out.group)]
-        return out
-
-
-def telling(x: Examples) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All terms of the examples, sorted; the root of their chi-square where it is beyond chance, else 1; and which are."""
-    s = x.speakers()
-    terms = np.unique(x.term)
-    at = np.searchsorted(terms, s.term)
-    n, t = np.bincount(at, minlength=len(terms)).astype(float), np.bincount(at, s.toxic[s.row], len(terms))
-    total, bad = float(len(s)), float(s.toxic.sum())
+        return mask, toxic[at]
+
+
+def telling(x: Examples) -> tuple[np.ndarray, np.ndarray]:
+    """For each term the root of its chi-square where it is beyond chance, else 1; and which are."""
+    speaks, toxic = x.speakers()
+    n, t = np.zeros(x.size), np.zeros(x.size)
+    for row, term, _ in x.terms():
+        own = speaks[row]
+        n += np.bincount(term[own], minlength=x.size)
+        t += np.bincount(term[own], toxic[row[own]], x.size)
+    total, bad = float(speaks.sum()), float(toxic[speaks].sum())
     chance = 2 * math.log(max(int((n >= SUPPORT).sum()), 2)) + 4
     gap = t * total - n * bad
     chi = gap * gap * total / np.maximum(n * (total - n) * bad * (total - bad), 1e-9)
     sure = (n >= SUPPORT) & (n < total) & (chi >= chance)
-    return terms, np.where(sure, np.sqrt(chi), 1.0), sure
+    return np.where(sure, np.sqrt(chi), 1.0), sure
 
 
 def draw_examples(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[Examples, float]:
@@ -160,35 +169,74 @@ def draw_examples(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL
     texts = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates()  # about 2 * per_label rows, broadcast two numbers each
 
     def make():
-        powers, known = Powers(), {}
+        powers = Powers()
 
         def work(texts: pa.Array) -> list[pa.Array]:
             own = [t.as_py() for t in texts]
-            terms = [terms_of(t, known) for t in own]
+            counts = [Counter(words_of(t)) for t in own]
             groups = [_copy_group(t.lower().encode(), powers) for t in own]
-            return [pa.array(groups, pa.int64()), pa.array([np.array(list(t), np.uint64).tobytes() for t in terms], pa.binary()), pa.array([np.array(list(t.values()), np.int32).tobytes() for t in terms], pa.binary())]
+            return [pa.array(groups, pa.int64()), pa.array([b" ".join(c) for c in counts], pa.binary()), pa.array([np.array(list(c.values()), np.int32).tobytes() for c in counts], pa.binary())]
 
         return work
 
-    rows = over_text(texts, make, "grp long, terms binary, counts binary", ["doc_id", "toxic"]).collect()
+    rows = over_text(texts, make, "grp long, words binary, counts binary", ["doc_id", "toxic"]).collect()
     share = n.get(1, 0) / max(sum(n.values()), 1)
-    return Examples([(r["doc_id"], r["toxic"], r["grp"], bytes(r["terms"]), bytes(r["counts"])) for r in rows], rates), share
+    return Examples([(r["doc_id"], r["toxic"], r["grp"], bytes(r["words"]), bytes(r["counts"])) for r in rows], rates), share
 
 
 class Space:
-    """The terms of the index, sorted, their weight beside idf, and the stems that a text is searched for."""
+    """The terms of the index, sorted, their weight beside idf, and how a text is searched for them."""
 
     def __init__(self, x: Examples) -> None:
-        terms, weight, sure = telling(x)
-        words = np.zeros(len(terms), bool)
-        words[np.searchsorted(terms, x.term[x.count > 0])] = True
-        told = terms[sure]
-        stems = [terms[sure & ~words], *(terms[np.isin(frequent(terms, v), told)] for v in LEVELS)]
-        self.terms, self.weight = terms[words | sure], weight[words | sure]
-        self.stems = frozenset(np.concatenate(stems).tolist())
+        weight, used = telling(x)
+        used[x.word] = True
+        self.terms, self.weight = np.flatnonzero(used), weight[used]
+        # Places of words; of beginnings, and of levels of either, where they tell.
+        self.words: dict[bytes, int] = {}
+        self.beginnings: dict[bytes, int] = {}
+        self.levels: tuple[dict[bytes, list[tuple[int, int]]], ...] = ({}, {})
+        for place, t in enumerate(self.terms.tolist()):
+            if t < x.words:
+                self.words[x.names[t]] = place
+            elif t < len(x.names):
+                self.beginnings[x.names[t]] = place
+            else:
+                stem, k = divmod(t - len(x.names), len(LEVELS))
+                self.levels[int(stem >= x.words)].setdefault(x.names[stem], []).append((LEVELS[k], place))
+
+    def parts(self) -> tuple:
+        return self.words, self.beginnings, self.levels
+
+
+def reader(places: dict[bytes, int], begins: dict[bytes, int], levels: tuple[dict, dict]):
+    """Text -> places of its terms, and counts, from the parts of a space."""
+    by_word, by_beginning = levels
+    stems = {*begins, *by_beginning}
+    heads = {b[: PREFIXES[0]] for b in stems}  # bytes, so a head may end inside a character
 
-    def places(self) -> dict[int, int]:
-        return {t: k for k, t in enumerate(self.terms.tolist())}
+    def of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = words_of(text) if text else []
+        ids, counts, more = [], [], {}
+        for word, n in Counter(words).items():
+            place = places.get(word)
+            if place is not None:
+                ids.append(place)
+                counts.append(n)
+                if n > 1 and word in by_word:
+                    more[word, False] = n
+            if word[: PREFIXES[0]] in heads:
+                for b in beginnings(word):
+                    if b in stems:
+                        more[b, True] = more.get((b, True), 0) + n
+        for (stem, begins_so), n in more.items():
+            found = [p for v, p in (by_beginning if begins_so else by_word).get(stem, ()) if n > 1 and n * v >= len(words)]
+            if begins_so and stem in begins:
+                found.append(begins[stem])
+            ids += found
+            counts += [0] * len(found)
+        return np.array(ids, np.int64), np.array(counts, np.int64)
+
+    return of
 
 
 def unit_weights(ids: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -197,12 +245,6 @@ def unit_weights(ids: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.
     return w / np.sqrt((w * w).sum())
 
 
-def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """start[0]..end[0]-1, start[1]..end[1]-1, and so on."""
-    n = end - start
-    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 class BlockMax:
     """Inverted index over examples in blocks. Rows of (doc_id, toxic, weight of its vote, ids, unit weights)."""
 
@@ -248,7 +290,7 @@ class BlockMax:
                 best = near[np.lexsort((self.doc[hit[near]], -np.round(score[near], 12)))][:k]
                 score, hit = score[best], hit[best]
                 least = score.min()
-            i, step = i + step, 2 * step
+            i, step = i + step, 4 * step
         best = np.lexsort((self.doc[hit], -np.round(score, 12)))
         return list(zip(score[best].tolist(), hit[best].tolist()))
 
@@ -285,39 +327,34 @@ def fitted(docs: DataFrame, x: Examples, prior: float) -> tuple[Space, np.ndarra
             df[r["term"]] = r["n"]
     weight = (np.log((1.0 + n) / (1.0 + df)) + 1.0) * space.weight
 
-    def vectors(e: Examples):
-        place = np.minimum(np.searchsorted(space.terms, e.term), max(len(space.terms) - 1, 0))
-        known = space.terms[place] == e.term if len(space.terms) else np.zeros(len(e.term), bool)
-        place, count, at = place[known], e.count[known], np.searchsorted(e.row[known], np.arange(len(e) + 1))
-        return [(place[a:b], unit_weights(place[a:b], count[a:b], weight)) for a, b in zip(at, at[1:])]
-
-    index = BlockMax([(int(d), int(t), 1.0 / r, *v) for d, t, r, v in zip(own.doc, own.toxic, own.rate, vectors(own))], len(space.terms))
-    votes = [(s, t, 1.0 / r) for v, t, r in zip(vectors(rest), rest.toxic, rest.rate) if (s := index.share(index.nearest(*v, NEIGHBOURS))) is not None]
+    places = np.full(x.size, -1, np.int32)
+    places[space.terms] = np.arange(len(space.terms))
+
+    def units(e: Examples):
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * len(e)
+        for row, term, count in e.terms():
+            place = places[term]
+            known = place >= 0
+            row, place, count = row[known], place[known].astype(np.int64), count[known]
+            cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
+            for a, b in zip(cuts, [*cuts[1:], len(row)]):
+                found[row[a]] = place[a:b], unit_weights(place[a:b], count[a:b], weight)
+        return found
+
+    index = BlockMax([(int(d), int(t), 1.0 / r, *v) for d, t, r, v in zip(own.doc, own.toxic, own.rate, units(own))], len(space.terms))
+    votes = [(s, t, 1.0 / r) for v, t, r in zip(units(rest), rest.toxic, rest.rate) if (s := index.share(index.nearest(*v, NEIGHBOURS))) is not None]
     curve = None
     if len({t for _, t, _ in votes}) == 2:
         curve = isotonic(*(np.array(c, float) for c in zip(*votes)), prior)
     return space, weight, index, curve
 
 
-def _features(shared):
-    """Text -> places of its terms, and counts. ``shared``: terms and stems, broadcast."""
-    terms, stems = shared
-    places, known = {t: k for k, t in enumerate(terms.tolist())}, {}
-
-    def of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found = [(p, n) for t, n in terms_of(text, known, stems).items() if (p := places.get(t)) is not None] if text else []
-        ids, counts = np.array(found, np.int64).reshape(-1, 2).T
-        return ids, counts
-
-    return of
-
-
 def document_frequencies(docs: DataFrame, space: Space) -> DataFrame:
     """term (place), n: number of documents with each term; of all documents under -1."""
-    shared, size = docs.sparkSession.sparkContext.broadcast((space.terms, space.stems)), len(space.terms)
+    shared, size = docs.sparkSession.sparkContext.broadcast(space.parts()), len(space.terms)
 
     def kernel(batches):
-        of, n, df = _features(shared.value), 0, np.zeros(size, np.int64)
+        of, n, df = reader(*shared.value), 0, np.zeros(size, np.int64)
         for batch in batches:
             for text in batch.column(0):
                 df[of(text.as_py())[0]] += 1
@@ -332,13 +369,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, per
     """doc_id, held_out, score, predicted, evidence (``doc_id:cosine:label`` of the three nearest examples)."""
     fold = F.coalesce(held_out("doc_id", 3, 1), F.lit(True))
     x, prior = draw_examples(docs, labels.filter(~fold), per_label)
-    space, weight, index, curve = fitted(docs, x, prior) if len(set(x.toxic.tolist())) == 2 else (Space(x.of(np.zeros(len(x), bool))), np.zeros(0), BlockMax([], 0), None)
+    space, weight, index, curve = fitted(docs, x, prior) if len(set(x.toxic.tolist())) == 2 else (Space(Examples([], [])), np.zeros(0), BlockMax([], 0), None)
     # About 2 * per_label examples; arrays only, as workers may lack the class.
-    shared = docs.sparkSession.sparkContext.broadcast(((space.terms, space.stems), weight, vars(index), curve))
+    shared = docs.sparkSession.sparkContext.broadcast((space.parts(), weight, vars(index), curve))
 
     def make():
         terms, weight, own, curve = shared.value
-        of, index = _features(terms), BlockMax.__new__(BlockMax)
+        of, index = reader(*terms), BlockMax.__new__(BlockMax)
         vars(index).update(own)
 
         def work(texts: pa.Array) -> list[pa.Array]:
