@@ -376,10 +376,14 @@ def _check_repeats(spark, texts):
 
 
 def test_repeats_of_the_table(spark, rows):
-    _check_repeats(spark, dict(rows[:120]))
+    _check_repeats(spark, dict(rows))
 
 
-def test_repeats_of_periodic_and_overlapping_texts(spark, monkeypatch):
+@pytest.mark.parametrize("limits", [{}, {"HOT_IN_BATCH": 1, "GROUP_ROWS": 20}, {"HOT_IN_BATCH": 0, "PASS_BYTES": 300}])
+def test_repeats_of_periodic_and_overlapping_texts(spark, monkeypatch, limits):
+    """Also where every anchor counts as hot, groups of a task are small, and texts come in tiles."""
+    for name, value in limits.items():
+        monkeypatch.setattr(repeats, name, value)
     random.seed(9)
     word = lambda k: "".join(random.choice("abcdé") for _ in range(k))
     passage = word(260)

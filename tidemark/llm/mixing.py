@@ -6,7 +6,8 @@ In a shard the documents lie in a seeded order as one run of tokens; the quota's
 document once each, what is left takes the run's beginning. A source of n documents has about sqrt(n) shards
 of sqrt(n) documents, so neither a shard nor the list of a source's shards outgrows a task.
 
-Null and empty texts have size 0 and take 0. A null source is a source of its own, the last. Rows that share
+Equal quotients go to the source of smaller rank, or the shard of smaller number; documents of a shard lie in order of a hash of
+their id, then of id and size. Null and empty texts have size 0 and take 0; very long texts count like any. A null source is a source of its own, the last. Rows that share
 a doc_id are rows of their own. An empty table gives an empty result. Other columns are ignored. SQL only.
 """
 

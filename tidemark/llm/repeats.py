@@ -14,11 +14,12 @@ offsets, so the sample covers as a difference cover does, with one position in 3
    An anchor with a single name has no other repeats.
 2. The first segments of anchors with several names are merged: their windows are sorted in groups of one
    anchor, neighbours are compared byte by byte, all but the first of equal ones are removed windows.
-   Anchors with very many names send single windows instead, grouped by the hash of the window.
+   Anchors with very many names send single windows instead, grouped by two hashes of the window, 128 bits together.
 3. Removed windows are gathered by document and the text is cut.
 
 Batches drop what they see to be repeats before each shuffle, so a passage in a third of all documents reaches
-a task once per batch. Names are 64-bit hashes. Null and empty texts have no window. A null doc_id counts as the
+a task once per batch. Names of segments are 64-bit hashes beside their anchor's. Null and empty texts have no window; an empty
+table gives an empty result. Of equal strings the first by doc_id, then start, stays. Very long texts are taken in tiles. A null doc_id counts as the
 smallest. Rows that share a doc_id count as one document: what goes from one goes from the other, and a string
 in both at one offset is one occurrence. Other columns are ignored.
 """
@@ -250,16 +251,18 @@ def _sort_names(batches):
             yield from _judge(*held, forced=False)
 
 
-PIECES = "key long, doc long, start long, n long, piece binary"
+PIECES = "key long, second long, doc long, start long, n long, piece binary"
+#: Base of the second hash of single windows.
+SECOND = np.uint64(0xD1342543DE82EF95)
 
 
-def _pieces(key, doc, start, n, piece) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, np.int64)) for x in (key, doc, start, n)), pa.array(piece, pa.binary())], ["key", "doc", "start", "n", "piece"])
+def _pieces(key, second, doc, start, n, piece) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, np.int64)) for x in (key, second, doc, start, n)), pa.array(piece, pa.binary())], ["key", "second", "doc", "start", "n", "piece"])
 
 
 def _expand(batches):
     """Texts with their open segments -> bytes of segments to merge, hashes of single windows. n is -1 for a removed window, 0 for a single one."""
-    powers = Powers()
+    powers, others = Powers(), Powers(SECOND)
     for batch in batches:
         rows, single = [], []
         for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
@@ -269,22 +272,22 @@ def _expand(batches):
                 if n > 0:
                     part = data[x["start"] : x["start"] + n + LENGTH - 1]
                     if x["kind"] == MERGE:
-                        rows.append((x["anchor"], doc, x["start"], n, part))
+                        rows.append((x["anchor"], 0, doc, x["start"], n, part))
                     else:
                         raw = np.frombuffer(part, np.uint8)
                         at = np.arange(n)
-                        single.append((PrefixHash(raw, powers).of(at, at + LENGTH).view(np.int64), np.full(n, doc), at + x["start"]))
+                        single.append((*(PrefixHash(raw, p).of(at, at + LENGTH).view(np.int64) for p in (powers, others)), np.full(n, doc), at + x["start"]))
         if rows:
             yield _pieces(*zip(*rows))
         if single:
-            h, doc, start = (np.concatenate(x) for x in zip(*single))
-            order = np.lexsort((start, doc, h))
-            h, doc, start = h[order], doc[order], start[order]
-            opens = np.concatenate([[True], h[1:] != h[:-1]])
+            h, second, doc, start = (np.concatenate(x) for x in zip(*single))
+            order = np.lexsort((start, doc, second, h))
+            h, second, doc, start = h[order], second[order], doc[order], start[order]
+            opens = np.concatenate([[True], (h[1:] != h[:-1]) | (second[1:] != second[:-1])])
             later, _ = _later(opens, doc, start)
-            yield _pieces(h[opens], doc[opens], start[opens], np.zeros(opens.sum()), [None] * int(opens.sum()))
+            yield _pieces(h[opens], second[opens], doc[opens], start[opens], np.zeros(opens.sum()), [None] * int(opens.sum()))
             d, s, c = merge_runs(doc[later], start[later], np.ones(later.sum(), np.int64))
-            yield _pieces(_route(d, s), d, s, -c, [None] * len(d))
+            yield _pieces(_route(d, s), np.zeros(len(d)), d, s, -c, [None] * len(d))
 
 
 def repeated_windows(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +315,7 @@ def repeated_windows(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, po
 
 
 def _merge(batches):
-    """Pieces sorted by key, doc, start -> removed runs."""
+    """Pieces sorted by key, second, doc, start -> removed runs."""
     powers, held, size, first = Powers(), [], 0, None
 
     def done(rows):
@@ -322,23 +325,23 @@ def _merge(batches):
         return _found(np.zeros(len(d)), d, s, n, GONE)
 
     for batch in batches:
-        key, doc, start, n = (c.to_numpy() for c in batch.columns[:4])
+        key, second, doc, start, n = (c.to_numpy() for c in batch.columns[:5])
         gone = n < 0
         if gone.any():
             yield _found(key[gone], doc[gone], start[gone], -n[gone], GONE)
         one = np.flatnonzero(n == 0)
         if len(one):
-            k, d, s = key[one], doc[one], start[one]
-            if first is not None and k[0] == first[0]:
-                k, d, s = np.append(first[0], k), np.append(first[1], d), np.append(first[2], s)
-            opens = np.concatenate([[True], k[1:] != k[:-1]])
-            later, run = _later(opens, d, s)
+            k, k2, d, s = key[one], second[one], doc[one], start[one]
+            if first is not None and (k[0], k2[0]) == first[:2]:
+                k, k2, d, s = (np.append(a, b) for a, b in zip(first, (k, k2, d, s)))
+            opens = np.concatenate([[True], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])])
+            later, _ = _later(opens, d, s)
             yield _found(k[later], d[later], s[later], np.ones(later.sum()), GONE)
             lead = np.flatnonzero(opens)[-1]
-            first = (k[lead], d[lead], s[lead])
+            first = (k[lead], k2[lead], d[lead], s[lead])
         many = np.flatnonzero(n > 0)
         if len(many):
-            for r in zip(key[many].tolist(), doc[many].tolist(), start[many].tolist(), n[many].tolist(), batch.column(4).take(pa.array(many)).to_pylist()):
+            for r in zip(key[many].tolist(), doc[many].tolist(), start[many].tolist(), n[many].tolist(), batch.column(5).take(pa.array(many)).to_pylist()):
                 if held and size > PASS_BYTES and held[-1][0] != r[0]:
                     yield done(held)
                     held, size = [], 0
@@ -391,7 +394,7 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     gone = found.filter(F.col("kind") == GONE).select("doc", "start", "n")
     spans = found.filter(F.col("kind") != GONE).groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n", "kind")).alias("spans"))
     pieces = d.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_expand, PIECES)
-    merged = cut(pieces.repartition(parts, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_merge, FOUND).select("doc", "start", "n"))
+    merged = cut(pieces.repartition(parts, "key").sortWithinPartitions("key", "second", "doc", "start").mapInArrow(_merge, FOUND).select("doc", "start", "n"))
     del pieces
     _release(spark)
     return gone.unionByName(merged)

@@ -33,10 +33,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+def few_files(df: DataFrame, rows: int, per_file: int = 500_000) -> DataFrame:
+    """df in as many partitions as its rows need, or as there are cores, however many a shuffle has."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_file)))
+
+
+def cut(df: DataFrame, rows: int | None = None, per_file: int = 500_000) -> DataFrame:
+    """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation.
+    Where the number of rows is known, in few files."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else few_files(df, rows, per_file)).checkpoint()
 
 
 class Tables:
@@ -108,18 +114,19 @@ def passes(offsets: np.ndarray, limit: int = PASS_BYTES):
 
 
 class Powers:
-    """Powers of BASE and of its inverse, grown on demand."""
+    """Powers of an odd base and of its inverse, grown on demand."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: np.uint64 = BASE) -> None:
+        self.base = base
         self.up = self.down = np.ones(1, np.uint64)
 
     def to(self, n: int) -> None:
         if len(self.up) >= n:
             return
         size = 1 << max(12, (n - 1).bit_length())
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+        inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         with np.errstate(over="ignore"):
-            for name, base in (("up", BASE), ("down", inverse)):
+            for name, base in (("up", self.base), ("down", inverse)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
