@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import golay
 from tidemark.llm.graph import heavy_keys, least_of, roots, spread_join
-from tidemark.llm.textkernel import cut, over_text, shuffle_partitions
+from tidemark.llm.textkernel import cut, few_files, over_text, shuffle_partitions
 
 #: Fingerprints of one key that a task compares at once; keys with more are cut in blocks, see ``links``.
 GROUP_LIMIT = 20_000
@@ -179,10 +179,11 @@ def links(fps: DataFrame, radius: int = golay.RADIUS, limit: int = GROUP_LIMIT)
     through tasks in key order. A key with over ``limit`` fingerprints is dealt with in a second pass:
     its rows are cut in blocks by hash and each pair of blocks is compared in a group of its own."""
     spark = fps.sparkSession
-    parts = max(shuffle_partitions(spark), -(-fps.count() * 190 // PARTITION_KEYS))
+    n = fps.count() * 190
+    parts = max(shuffle_partitions(spark), -(-n // PARTITION_KEYS))
     keyed = _keyed(fps)
     schema = "a long, b long, kind int"
-    found = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_linker(radius, limit), schema))
+    found = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_linker(radius, limit), schema), n, PARTITION_KEYS)
     edges = found.filter("kind = 0").select("a", "b")
     over = found.filter("kind = 1").select(F.col("a").alias("key"))
     if not over.isEmpty():
@@ -202,10 +203,12 @@ def groups(fps: DataFrame, radius: int = golay.RADIUS) -> tuple[DataFrame, DataF
 
     Fingerprints are the nodes, so rows without a doc_id link others like any row; a component of such rows only has
     no component_id."""
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    rows = fps.count()
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), rows)
     linked = roots(links(distinct, radius)).withColumnRenamed("node", "fp")
     linked = least_of(linked.join(distinct.select("fp", "first"), "fp"), "first").select("fp", "least")
     own = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    own = cut(own, rows)  # else a join with it on fp shares this join's stage, where Spark cannot split a hot fp
     return own, heavy_keys(distinct, "fp", "n")
 
 
@@ -213,4 +216,4 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = golay.RADIUS)
     """doc_id, fp (long), component_id: one row per row of docs."""
     fps = cut(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), words))
     own, heavy = groups(fps, radius)
-    return spread_join(fps, own, "fp", heavy).select("doc_id", "fp", "component_id")
+    return few_files(spread_join(fps, own, "fp", heavy).select("doc_id", "fp", "component_id"), fps.count())
