@@ -34,8 +34,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def few_files(df: DataFrame, rows: int, per_file: int = 500_000) -> DataFrame:
-    """df in as many partitions as its rows need, or as there are cores, however many a shuffle has."""
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_file)))
+    """df in as many partitions as its rows need, or as there are cores, where a shuffle has four times as many or more; else
+    uniting some of them would only make tasks uneven."""
+    need = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_file))
+    return df.coalesce(need) if shuffle_partitions(df.sparkSession) >= 4 * need else df
 
 
 def cut(df: DataFrame, rows: int | None = None, per_file: int = 500_000) -> DataFrame:
