@@ -34,6 +34,7 @@ PER_LABEL = 2000
 SUPPORT = 3
 NEIGHBOURS = 12
 BLOCK = 128
+DENSE = 8
 PREFIXES = (4, 5, 6, 7)
 #: Shares of a document's words, as 1 / level, from which on a word or beginning counts as frequent.
 LEVELS = (256, 128, 64)
@@ -246,7 +247,9 @@ def unit_weights(ids: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.
 
 
 class BlockMax:
-    """Inverted index over examples in blocks. Rows of (doc_id, toxic, weight of its vote, ids, unit weights)."""
+    """Inverted index over examples in blocks. Rows of (doc_id, toxic, weight of its vote, ids, unit weights).
+
+    A term that more than one in ``DENSE`` examples have is a row of a matrix instead of a list of postings."""
 
     def __init__(self, rows: list[tuple[int, int, float, np.ndarray, np.ndarray]], terms: int) -> None:
         # Examples that share their weightiest term stand together, which makes the bounds tight.
@@ -257,34 +260,47 @@ class BlockMax:
             return
         term, weight = np.concatenate([r[3] for r in rows]).astype(np.int64), np.concatenate([r[4] for r in rows])
         example = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
-        order = np.lexsort((example, term))
+        often = np.flatnonzero(np.bincount(term, minlength=terms) * DENSE > len(rows))
+        self.dense_of = np.full(terms, -1, np.int32)
+        self.dense_of[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(rows)))
+        rare = self.dense_of[term] < 0
+        self.dense[self.dense_of[term[~rare]], example[~rare]] = weight[~rare]
+        order = np.flatnonzero(rare)[np.lexsort((example[rare], term[rare]))]
         term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
         block = self.example // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        opens = np.ones(len(term), bool)
+        opens[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(opens)
         self.of_entry = np.append(first, len(term))  # an entry for each term and block: where its examples are
-        self.entry_block, self.most = block[first], np.maximum.reduceat(self.weight, first)
+        self.entry_block, self.most = block[first], np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.of_term = np.searchsorted(term[first], np.arange(terms + 1))
 
     def nearest(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with cosine over 0."""
         if not self.blocks or not len(ids):
             return []
+        often = self.dense_of[ids]
+        base = q[often >= 0] @ self.dense[often[often >= 0]]
+        ids, q = ids[often < 0], q[often < 0]
         start, end = self.of_term[ids], self.of_term[ids + 1]
         entry, q = _ranges(start, end), np.repeat(q, end - start)
-        block = self.entry_block[entry]
-        bound = np.bincount(block, q * self.most[entry], self.blocks)
+        block, total = self.entry_block[entry], len(self.doc)
+        bound = np.bincount(block, q * self.most[entry], self.blocks) + np.maximum.reduceat(base, np.arange(0, total, BLOCK))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         score, hit, i, step, least = np.zeros(0), np.zeros(0, np.int64), 0, 4, -1.0
         while i < len(order) and bound[order[i]] >= least - 1e-9:
+            part = order[i : i + step]
             open_ = np.zeros(self.blocks, bool)
-            open_[order[i : i + step]] = True
+            open_[part] = True
             at = open_[block]
             start, end = self.of_entry[entry[at]], self.of_entry[entry[at] + 1]
             posting = _ranges(start, end)
-            own = np.bincount(self.example[posting], self.weight[posting] * np.repeat(q[at], end - start))
-            new = np.flatnonzero(own)
-            score, hit = np.concatenate([score, own[new]]), np.concatenate([hit, new])
+            own = np.bincount(self.example[posting], self.weight[posting] * np.repeat(q[at], end - start), total)
+            new = _ranges(part * BLOCK, np.minimum((part + 1) * BLOCK, total))
+            value = own[new] + base[new]
+            score, hit = np.concatenate([score, value[value > 0]]), np.concatenate([hit, new[value > 0]])
             if len(score) > k:
                 near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9)
                 best = near[np.lexsort((self.doc[hit[near]], -np.round(score[near], 12)))][:k]
