@@ -34,6 +34,9 @@ SPELLINGS = (
     ("(fav|hon|lab)our", "{}or"), ("(anal|catal)ogue", "{}og"), ("analyse", "analyze"), ("artefact", "artifact"), ("calibre", "caliber"), ("centre", "center"), ("(cancel|label|model|signal)l(ed|ing)", "{}{2}"), ("defence", "defense"), ("offence", "offense"),
     ("judgement", "judgment"), ("practise", "practice"), ("programme", "program"), ("https", "http"), ("per cent", "percent"), ("whilst", "while"), ("fulfil", "fulfill"), ("fulfilll", "fulfill"), ("wilful", "willful"),
 )
+#: What a text with a notice, or with another spelling, holds; most texts hold neither and are spared a pass for each pattern.
+HAS_NOTICE = r"copyright|\(c\)|©|all rights reserved"
+HAS_SPELLING = "|".join(pattern for pattern, _ in SPELLINGS)
 #: SHA-256 of the canonical forms of the published wordings; ``tests/llm/wordings.py`` has them or names the file.
 KNOWN: dict[str, str] = {
     "MIT": "35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164",
@@ -83,10 +86,10 @@ def _re2(spelling: str) -> str:
 
 
 def _plain(low: Column) -> Column:
-    low = F.regexp_replace(low, "[^a-z0-9]+", " ")
+    low = other = F.regexp_replace(low, "[^a-z0-9]+", " ")
     for pattern, spelling in SPELLINGS:
-        low = F.regexp_replace(low, pattern, _java(spelling))
-    return F.trim(low)
+        other = F.regexp_replace(other, pattern, _java(spelling))
+    return F.trim(F.when(low.rlike(HAS_SPELLING), other).otherwise(low))
 
 
 def canonical(text: Column) -> Column:
@@ -94,8 +97,8 @@ def canonical(text: Column) -> Column:
     cut = low
     for pattern, left in zip(NOTICES, _LEFT):
         cut = F.regexp_replace(cut, pattern, _java(left))
-    # Few texts are nothing but notices: only those are canonicalised twice.
-    return F.when(cut.rlike("[a-z0-9]"), _plain(cut)).otherwise(_plain(low))
+    # A text of nothing but notices keeps them.
+    return _plain(F.when(low.rlike(HAS_NOTICE) & cut.rlike("[a-z0-9]"), cut).otherwise(low))
 
 
 def digest(text: Column) -> Column:
