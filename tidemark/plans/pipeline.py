@@ -20,6 +20,7 @@ from tidemark.functions.text import contiguous_years, season_tag
 from tidemark.operators import baseline as base
 from tidemark.operators import catalog, merge, neighbourhood, tiles, vectorise
 from tidemark.operators.detect import Detector, Otsu, ZScore
+from tidemark.sources import geopackage
 from tidemark.sources.base import SceneSource
 from tidemark.sources.reader import DEM_LEVEL, SCENE_LEVEL, SceneReader, grids
 from tidemark.sources.store import Store, parse_config, read_areas
@@ -237,7 +238,7 @@ def run_one_aoi(spark: SparkSession, settings: dict | str, aoi_id: int, source:
     s = dict(parse_config(settings) if isinstance(settings, str) else settings)
     grid = s.pop("grid", None)
     if areas is None and grid is not None:
-        areas = read_areas(spark, grid)
+        areas = geopackage.read(spark, grid) if grid.endswith(".gpkg") else read_areas(spark, grid)
     config = Config.of(s | {"aoi_ids": [aoi_id]})
     run = FloodRun(spark, config, areas, source)
     return run.run(dem).filter(F.col("aoi_id") == aoi_id)

@@ -331,8 +331,8 @@ def files(pixels: DataFrame, key: str, order: str, value: str, tiles: DataFrame,
     return own.join(tiles.select(key, "xmin", "ymin", "xmax", "ymax", "epsg"), key).groupBy(key).applyInPandas(kernel, f"{key} {kind}, content binary")
 
 
-def save(contents: DataFrame, key: str, folder: str) -> DataFrame:
-    """Writes each file as ``<folder>/<key>.tif`` from the executors and returns key and path. The folder is a URI that all of them reach.
+def save(contents: DataFrame, key: str, folder: str, ending: str = "tif") -> DataFrame:
+    """Writes each file as ``<folder>/<key>.<ending>`` from the executors and returns key and path. The folder is a URI that all of them reach.
 
     A file is written under a name of its own and then renamed, so a task that runs again leaves no half file."""
 
@@ -349,8 +349,8 @@ def save(contents: DataFrame, key: str, folder: str) -> DataFrame:
                 own = f"{root}/.{k}-{uuid.uuid4().hex}"
                 with place.open_output_stream(own) as out:
                     out.write(data)
-                place.move(own, f"{root}/{k}.tif")
-                done.append(f"{folder}/{k}.tif")
+                place.move(own, f"{root}/{k}.{ending}")
+                done.append(f"{folder}/{k}.{ending}")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string())], [key, "path"])
 
     return contents.select(key, "content").mapInArrow(kernel, f"{key} {dict(contents.dtypes)[key]}, path string")
