@@ -51,33 +51,61 @@ def label_runs(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
     return np.unique(roots, return_inverse=True)[1] if len(roots) else roots
 
 
+def _one_only(own: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts of the first runs (half open, ascending) that no second run covers."""
+    out, k = [], 0
+    for a, b in own:
+        while k < len(other) and other[k][1] <= a:
+            k += 1
+        j = k
+        while j < len(other) and other[j][0] < b:
+            if other[j][0] > a:
+                out.append((a, other[j][0]))
+            a = max(a, other[j][1])
+            j += 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
 def rings(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Boundary of a region as closed rings of cell corners (column, row), the outer one first."""
+    """Boundary of a region as closed rings of cell corners (column, row), the outer one first.
+
+    Edges come from the runs of neighbouring rows, so their number is that of runs and not of cells. Cells lie to the right of an edge."""
+    by_row: dict[int, list[tuple[int, int]]] = {}
+    for r, a, b in zip(row.tolist(), first.tolist(), last.tolist()):
+        by_row.setdefault(r, []).append((a, b + 1))
+    for runs in by_row.values():
+        runs.sort()
     step: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    cells = {(int(r), c) for r, a, b in zip(row, first, last) for c in range(int(a), int(b) + 1)}
-    for r, c in sorted(cells):
-        for dr, dc, a, b in ((-1, 0, (c, r), (c + 1, r)), (0, 1, (c + 1, r), (c + 1, r + 1)), (1, 0, (c + 1, r + 1), (c, r + 1)), (0, -1, (c, r + 1), (c, r))):
-            if (r + dr, c + dc) not in cells:
-                step.setdefault(a, []).append(b)
+    add = lambda p, q: step.setdefault(p, []).append(q)
+    for r, runs in by_row.items():
+        for a, b in runs:
+            add((a, r + 1), (a, r))
+            add((b, r), (b, r + 1))
+        for a, b in _one_only(runs, by_row.get(r - 1, [])):
+            add((a, r), (b, r))
+        for a, b in _one_only(runs, by_row.get(r + 1, [])):
+            add((b, r + 1), (a, r + 1))
     out = []
-    while step:
-        start = min(step, key=lambda p: (p[1], p[0]))
-        ring, at, before = [start], start, None
-        while True:
-            ways = step[at]
-            # Where two cells meet at a corner, turning right keeps the ring on one cell.
-            k = 0 if len(ways) == 1 or before is None else max(range(len(ways)), key=lambda i: (at[0] - before[0]) * (ways[i][1] - at[1]) - (at[1] - before[1]) * (ways[i][0] - at[0]))
-            after = ways.pop(k)
-            if not ways:
-                del step[at]
-            before, at = at, after
-            ring.append(at)
-            if at == start:
-                break
-        turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - b[1]) != (b[1] - a[1]) * (c[0] - b[0])
-        body = ring[:-1]
-        body = [p for i, p in enumerate(body) if turn(body[i - 1], p, body[(i + 1) % len(body)])]
-        out.append([*body, body[0]])
+    for start in sorted(step, key=lambda p: (p[1], p[0])):
+        while start in step:
+            ring, at, before = [start], start, None
+            while True:
+                ways = step[at]
+                # Where two cells meet at a corner, turning right keeps the ring on one cell.
+                k = 0 if len(ways) == 1 or before is None else max(range(len(ways)), key=lambda i: (at[0] - before[0]) * (ways[i][1] - at[1]) - (at[1] - before[1]) * (ways[i][0] - at[0]))
+                after = ways.pop(k)
+                if not ways:
+                    del step[at]
+                before, at = at, after
+                ring.append(at)
+                if at == start:
+                    break
+            turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - b[1]) != (b[1] - a[1]) * (c[0] - b[0])
+            body = ring[:-1]
+            body = [p for i, p in enumerate(body) if turn(body[i - 1], p, body[(i + 1) % len(body)])]
+            out.append([*body, body[0]])
     return out
 
 
