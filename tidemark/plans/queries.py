@@ -493,7 +493,27 @@ def square_names(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("o_orderkey", geo.square_name(F.col("utm_zone"), geo.latitude_band(F.col("lat")), F.col("easting"), F.col("northing")).alias("square"))
 
 
-@query()
+def _tiles_sql(top_west: str, side: float, columns: str) -> str:
+    """Squares that meet a quadrilateral: the box around all areas, or what a line from its south-west corner to its north-east leaves of it, cut by zones.
+
+    A square is apart from a convex shape if their boxes are, or if all its corners lie outside one side."""
+    box = "(SELECT min(minx) AS x0, min(miny) AS y0, max(maxx) AS x1, max(maxy) AS y1 FROM areas)"
+    cut = f"(SELECT z::INT AS utm_zone, y0, y1, x0, x1, greatest(x0, 6.0::DOUBLE * z - 186) AS w, least(x1, 6.0::DOUBLE * z - 180) AS e FROM {box}, range(1, 61) t(z) WHERE 6 * z - 186 <= x1 AND 6 * z - 180 >= x0 AND floor((x1 + 180) / 6) + 1 >= z)"
+    top = lambda x: f"CASE WHEN {top_west} THEN y1 ELSE y0 + ({x} - x0) * (y1 - y0) / (x1 - x0) END"
+    corners = f"(SELECT utm_zone, unnest([0, 1, 2, 3]) AS k, unnest([w, e, e, w]) AS lon, unnest([y0, y0, {top('e')}, {top('w')}]) AS lat FROM {cut} WHERE w < e)"
+    points = f"(SELECT utm_zone, list(easting ORDER BY k) AS px, list(northing ORDER BY k) AS py FROM {geo.nested(corners, geo.utm_forward('lon', 'lat', 'utm_zone', 'false'))} GROUP BY utm_zone)"
+    span = lambda p: f"unnest(range(floor(list_min({p}) / {side})::BIGINT, greatest(ceil(list_max({p}) / {side})::BIGINT, floor(list_min({p}) / {side})::BIGINT + 1)))"
+    rows = f"(SELECT *, {span('py')} AS j FROM (SELECT *, {span('px')} AS i FROM {points}))"
+    square = f"(SELECT *, i * {side}::DOUBLE AS xmin, j * {side}::DOUBLE AS ymin, i * {side}::DOUBLE + {side}::DOUBLE AS xmax, j * {side}::DOUBLE + {side}::DOUBLE AS ymax, i * {side}::DOUBLE + {side / 2}::DOUBLE AS cx, j * {side}::DOUBLE + {side / 2}::DOUBLE AS cy FROM {rows})"
+    beyond = lambda k: " AND ".join(f"(px[{k % 4 + 1}] - px[{k}]) * ({y} - py[{k}]) - (py[{k % 4 + 1}] - py[{k}]) * ({x} - px[{k}]) < 0" for x in ("xmin", "xmax") for y in ("ymin", "ymax"))
+    met = f"(SELECT * FROM {square} WHERE " + " AND ".join(f"NOT ({beyond(k)})" for k in (1, 2, 3, 4)) + ")"
+    named = geo.nested(met, geo.utm_inverse("cx", "cy", "utm_zone", "false", "clon", "clat"))
+    band = "'CDEFGHJKLMNPQRSTUVWX'[least(floor((clat + 80) / 8)::INT, 19) + 1]"
+    mgrs = f"utm_zone::VARCHAR || {band} || (['STUVWXYZ', 'ABCDEFGH', 'JKLMNPQR'])[utm_zone % 3 + 1][floor(cx / 100000)::INT] || (['FGHJKLMNPQRSTUVABCDE', 'ABCDEFGHJKLMNPQRSTUV'])[utm_zone % 2 + 1][floor(cy / 100000)::BIGINT % 20 + 1]"
+    return using(f"SELECT {columns} FROM (SELECT *, row_number() OVER (ORDER BY utm_zone, xmin, ymin) AS aoi_id, utm_zone::VARCHAR || {band} AS zone, 32600 + utm_zone AS epsg, {mgrs} AS mgrs_tile, 'REQUIRED' AS dry_month FROM {named})", "areas")
+
+
+@query(_tiles_sql("true", 100_000.0, "aoi_id, zone, epsg, xmin, ymin, mgrs_tile, dry_month"))
 def tile_grid(spark: SparkSession, sf: str) -> DataFrame:
     """100 km tiles over the box around all areas."""
     b = catalog.union_box(areas(spark, sf)).first()
@@ -501,7 +521,7 @@ def tile_grid(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("aoi_id", "zone", "epsg", "xmin", "ymin", "mgrs_tile", "dry_month")
 
 
-@query()
+@query(_tiles_sql("false", 25_000.0, "aoi_id, zone, epsg, xmin, ymin, xmax, ymax"))
 def tile_fishnet(spark: SparkSession, sf: str) -> DataFrame:
     b = catalog.union_box(areas(spark, sf)).first()
     ring = [(b["minx"], b["miny"]), (b["maxx"], b["miny"]), (b["maxx"], b["maxy"])]
