@@ -228,6 +228,19 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(tuple, OWN["op4_mixing"](spark, DATA.replace("sf0.001", "sf0.01")).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_a_source_of_very_many_rows_is_dealt_out(spark, monkeypatch):
+    """The same mix whether or not the rows of a source are spread over tasks; null and the empty name are two sources."""
+    from tidemark.llm import graph
+
+    rows = [(k, "w " * (k % 7), None, (None, "", "a", "b")[k % 4] if k % 3 else "b", 0) for k in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one = sorted(map(repr, mixing.mix(docs).collect()))
+    own = graph.heavy_keys
+    monkeypatch.setattr(mixing, "heavy_keys", lambda counts, key, n: own(counts, key, n, 30))
+    assert sorted(map(repr, mixing.mix(docs).collect())) == one and len(one) == 400
+    assert len({r["source_size"] for r in mixing.mix(docs).collect()}) == 4
+
+
 # 5 Fingerprints
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.graph import heavy_keys, spread_join
 from tidemark.llm.textkernel import cut
 
 WEIGHTS = (5, 2, 1)
@@ -68,13 +69,14 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
 def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the row's source; one row per row of docs."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), key.alias("key")))
+    name = F.concat(F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(F.col("source").cast("string"), F.lit("")))  # null is a source
+    sized = cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), key.alias("key"), name.alias("name")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     s = source_targets(sources, weights, share, cap).withColumn("block", F.greatest(F.lit(1), F.floor(F.col("total") / blocks)).cast("long"))
     s = s.withColumn("seats", F.floor(F.col("total") / F.col("block")).cast("long")).withColumn("g", F.lit(0))
     s = sainte_lague(s, ["g"], "rank", "target", "seats").withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sqrt("n_docs"))).cast("long"))
-    s = cut(s.select(F.col("source").alias("name"), "rank", "source_size", "target", "block", "shards", F.col("quota").alias("source_quota")))
-    dealt = sized.join(s, sized["source"].eqNullSafe(s["name"])).drop("name")
+    s = cut(s.select(name.alias("name"), "rank", "source_size", "target", "block", "shards", F.col("quota").alias("source_quota"), "n_docs"))
+    dealt = spread_join(sized, s.drop("n_docs"), "name", heavy_keys(s, "name", "n_docs")).drop("name")
     dealt = dealt.withColumn("shard", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.col("shards")))
     shard = dealt.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shard = sainte_lague(shard, ["rank"], "shard", "shard_size", "source_quota").select("rank", "shard", "shard_size", "quota")
