@@ -12,6 +12,9 @@ empty result. Very long texts are canonicalised whole, in time linear in the tex
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +37,17 @@ SPELLINGS = (
     ("(fav|hon|lab)our", "{}or"), ("(anal|catal)ogue", "{}og"), ("analyse", "analyze"), ("artefact", "artifact"), ("calibre", "caliber"), ("centre", "center"), ("(cancel|label|model|signal)l(ed|ing)", "{}{2}"), ("defence", "defense"), ("offence", "offense"),
     ("judgement", "judgment"), ("practise", "practice"), ("programme", "program"), ("https", "http"), ("per cent", "percent"), ("whilst", "while"), ("fulfil", "fulfill"), ("fulfilll", "fulfill"), ("wilful", "willful"),
 )
+
+
+def _literals(pattern: str) -> list[str]:
+    """Texts of which any match of the pattern begins with one: its first alternatives, up to the next bracket."""
+    heads, rest = ([pattern], "") if pattern[0] != "(" else (pattern[1 : pattern.index(")")].split("|"), pattern[pattern.index(")") + 1 :])
+    return [(head + rest).split("(")[0].split("[")[0] for head in heads]
+
+
 #: What a text with a notice, or with another spelling, holds; most texts hold neither and are spared a pass for each pattern.
 HAS_NOTICE = r"copyright|\(c\)|©|all rights reserved"
-HAS_SPELLING = "|".join(pattern for pattern, _ in SPELLINGS)
+HAS_SPELLING = tuple(x for pattern, _ in SPELLINGS for x in _literals(pattern))
 #: SHA-256 of the canonical forms of the published wordings; ``tests/llm/wordings.py`` has them or names the file.
 KNOWN: dict[str, str] = {
     "MIT": "35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164",
@@ -89,7 +100,7 @@ def _plain(low: Column) -> Column:
     low = other = F.regexp_replace(low, "[^a-z0-9]+", " ")
     for pattern, spelling in SPELLINGS:
         other = F.regexp_replace(other, pattern, _java(spelling))
-    return F.trim(F.when(low.rlike(HAS_SPELLING), other).otherwise(low))
+    return F.trim(F.when(functools.reduce(operator.or_, [low.contains(x) for x in HAS_SPELLING]), other).otherwise(low))
 
 
 def canonical(text: Column) -> Column:
@@ -98,7 +109,7 @@ def canonical(text: Column) -> Column:
     for pattern, left in zip(NOTICES, _LEFT):
         cut = F.regexp_replace(cut, pattern, _java(left))
     # A text of nothing but notices keeps them.
-    return _plain(F.when(low.rlike(HAS_NOTICE) & cut.rlike("[a-z0-9]"), cut).otherwise(low))
+    return _plain(F.when(low.rlike(HAS_NOTICE), F.when(cut.rlike("[a-z0-9]"), cut).otherwise(low)).otherwise(low))
 
 
 def digest(text: Column) -> Column:
