@@ -139,6 +139,21 @@ def _starts(hits: Column, gaps: Column) -> Column:
     return _let(step, lambda s: _let(runs(s), lambda t: _let(before(t), lambda b: at(s, b))))
 
 
+#: The forest of the findings made here, by application: they are the same each time.
+_OWN: dict[str, RandomForestClassificationModel] = {}
+
+
+def forest(spark: SparkSession, findings: DataFrame | None = None) -> RandomForestClassificationModel:
+    """Trained on the findings given, or on those made here, once in an application."""
+    if findings is not None:
+        return train(findings)
+    key = spark.sparkContext.applicationId
+    if key not in _OWN:
+        _OWN.clear()
+        _OWN[key] = train(labelled_findings(spark))
+    return _OWN[key]
+
+
 def candidates(docs: DataFrame, keep: list[str], path: str = "source") -> DataFrame:
     """A row per candidate: ``keep``, number, start (code points), candidate, before, path."""
     text = F.coalesce("text", F.lit(""))
@@ -160,7 +175,7 @@ def judge(found: DataFrame, model: RandomForestClassificationModel, threshold: f
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source") -> DataFrame:
     """doc_id, number, start, length (code points), candidate, probability, is_secret: a row per candidate."""
-    model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
+    model = forest(docs.sparkSession, findings)
     found = judge(candidates(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], path), model)
     return found.select("doc_id", "number", "start", F.length("candidate").cast("long").alias("length"), "candidate", "probability", "is_secret")
 
@@ -169,7 +184,7 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, path: str = "sour
     """docs with each confirmed secret in ``text`` replaced; ``n_chars``, if there, follows. Same columns.
 
     Rows are matched by id and text hash. The texts are not shuffled while what was found takes ``SMALL`` bytes or fewer."""
-    model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
+    model = forest(docs.sparkSession, findings)
     key = F.xxhash64(F.col("doc_id").cast("string"), "text", path)
     found = judge(candidates(docs.select(key.alias("__id"), "text", path), ["__id"], path), model).filter("is_secret")
     by_row = cut(found.groupBy("__id").agg(F.collect_set("candidate").alias("__secrets")))
