@@ -18,8 +18,8 @@ def test_query(spark, duck, name):
     assert rows == right
 
 
-def test_only_geometry_has_no_sql():
-    assert set(QUERIES) - set(ORACLE) == {"flood_polygons", "tile_grid", "tile_fishnet"}
+def test_only_outlines_have_no_sql():
+    assert set(QUERIES) - set(ORACLE) == {"flood_polygons"}  # its outlines are tested in test_outlines.py
 
 
 def test_flagship_shuffles_twice(spark):
