@@ -22,7 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup by Jaccard similarity of 0.8 on five-word shingles: the row of smallest doc_id of each group stays."""
+    """Near-dedup by SimHash with Golay-code keys, and bands for what these cannot reach, each pair verified to have a Jaccard
+    similarity of 0.8 or more on five-word shingles: the row of smallest doc_id of each group stays."""
     return nearcopies.keep_one(docs)
 
 

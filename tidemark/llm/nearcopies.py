@@ -1,11 +1,13 @@
 """Near copies by exact shingle similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-``signed`` (a node per text, 32 MinHash bands of five) -> ``candidates`` (nodes that share a band) -> verification on
-the whole shingle sets -> components. A pair at exactly 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6, one
-of more similarity less often; no other pair of that similarity is left out, and no other pair is linked.
+``signed`` (a node per text, its SimHash and 32 MinHash bands of five) -> ``close`` (Golay-code keys: SimHashes connected
+within four bits are one group) -> ``candidates`` (nodes that share a group or a band) -> verification on the whole shingle
+sets -> components. Every similar pair within four bits is found. The bands are for the rest, as most pairs at 0.8 differ
+in more bits: beyond four, a pair at exactly 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6, one of more
+similarity less often; no other pair of that similarity is left out, and no other pair is linked.
 
 Words are compared as in ``simhash``: lower case in ASCII, any white space. Null and empty texts are one node; a text
-of fewer words is one shingle. Equal texts are one node. A band of many nodes first links each to the band's first and
+of fewer words is one shingle. Equal texts are one node. A band or group of many nodes first links each to its first and
 to its neighbour; where that leaves several components, all its pairs across them are compared in blocks.
 """
 
@@ -17,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.graph import roots
-from tidemark.llm.simhash import PARTITION_KEYS
+from tidemark.llm import golay
+from tidemark.llm.graph import heavy_keys, roots, spread_join
+from tidemark.llm.simhash import PARTITION_KEYS, links
 from tidemark.llm.textkernel import cut, few_files, mix, over_text, shuffle_partitions
 
 WORDS = 5
@@ -51,6 +54,14 @@ def shingles(joined: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :])], np.uint64))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles, each counted once: bits set in over half of them; signed, as Spark's long holds it."""
+    on = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        on += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(on * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def bands(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """One key for each band of the minima of BANDS * ROWS orders."""
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
@@ -66,7 +77,7 @@ def bands(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, node (long) and bands (binary) of each whole text."""
+    """Columns ``keep``, node, fp (long) and bands (binary) of each whole text; no bands for a text of no words."""
 
     def make():
         factors = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,12 +85,16 @@ def signed(docs: DataFrame, keep: list[str]) -> DataFrame:
         def work(texts: pa.Array) -> list[pa.Array]:
             all_joined = [_joined(t.as_py()) for t in texts.cast(pa.binary())]
             nodes = np.array([xxhash.xxh64_intdigest(t, 7) for t in all_joined], np.uint64)
-            keys = [bands(shingles(t), factors).tobytes() if t else b"" for t in all_joined]
-            return [pa.array(nodes.view(np.int64)), pa.array(keys, pa.binary())]
+            fps, keys = [], []
+            for t in all_joined:
+                own = shingles(t)
+                fps.append(fingerprint(own))
+                keys.append(bands(own, factors).tobytes() if t else b"")
+            return [pa.array(nodes.view(np.int64)), pa.array(fps, pa.int64()), pa.array(keys, pa.binary())]
 
         return work
 
-    return over_text(docs, make, "node long, bands binary", keep)
+    return over_text(docs, make, "node long, fp long, bands binary", keep)
 
 
 def _keyed(batches):
@@ -89,6 +104,14 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(own), np.int64)), pa.array(np.repeat(node, n))], ["key", "node"])
 
 
+def close(nodes: DataFrame, rows: int, radius: int = golay.RADIUS) -> DataFrame:
+    """key, node: nodes whose fingerprints are connected within ``radius`` bits share a key. Nodes of no words have none."""
+    nodes = nodes.filter(F.length("bands") > 0).select("fp", "node")
+    fps = cut(nodes.groupBy("fp").agg(F.count("*").alias("n")), rows)
+    root = roots(links(fps, radius)).withColumnRenamed("node", "fp")
+    return spread_join(nodes, root, "fp", heavy_keys(fps, "fp", "n"), "left").select(F.coalesce("root", "fp").alias("key"), "node")
+
+
 PAIR, MEMBER = 0, 1
 
 
@@ -147,10 +170,11 @@ def _grouped(limit: int):
 
 
 def candidates(nodes: DataFrame, limit: int = PAIRS_OF) -> DataFrame:
-    """a, b, kind: pairs of nodes that share a band (0), or a crowded band and a node of it (1)."""
-    n = nodes.count() * BANDS
+    """a, b, kind: pairs of nodes that share a group of close fingerprints or a band (0), or one that is crowded and a node of it (1)."""
+    rows = nodes.count()
+    n = rows * (BANDS + 1)
     parts = max(shuffle_partitions(nodes.sparkSession), -(-n // PARTITION_KEYS))
-    keyed = nodes.select("node", "bands").mapInArrow(_keyed, "key long, node long")
+    keyed = nodes.select("node", "bands").mapInArrow(_keyed, "key long, node long").unionByName(close(nodes, rows))
     return cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_grouped(limit), "a long, b long, kind int"), n, PARTITION_KEYS)
 
 
@@ -208,7 +232,7 @@ def _labels(edges: DataFrame) -> DataFrame:
 
 
 def _links_of_crowds(members: DataFrame, label: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """a, b: similar nodes of one band that are not in one component yet."""
+    """a, b: similar nodes of one crowded band or group that are not in one component yet."""
     rows = members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     rows = rows.join(sets.select("node", F.length("set").alias("bytes")), "node")
     n = F.ceil(F.greatest(F.count("*") * 2 / block, F.sum("bytes") * 2 / BLOCK_BYTES)).cast("int")
@@ -230,7 +254,7 @@ def keep_one(docs: DataFrame, limit: int = PAIRS_OF, block: int = BLOCK_NODES) -
     marked = docs.withColumns({"__none": own["none"], "__id": own["id"], "__h": own["h"]})
     split = [F.col("row.none").alias("__none"), F.col("row.id").alias("__id"), F.col("row.h").alias("__h")]
     rows = docs.count()
-    nodes = cut(signed(docs.select(own.alias("row"), "text"), ["row"]).groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands")), rows, TEXT_ROWS)
+    nodes = cut(signed(docs.select(own.alias("row"), "text"), ["row"]).groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), rows, TEXT_ROWS)
     found = candidates(nodes, limit)
     pairs = cut(found.filter(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), found.count())
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
